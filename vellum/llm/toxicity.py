@@ -1,11 +1,11 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct hashes of its words, word pairs, word triples and pairs with
-one word between. Per-coordinate learning rates and an L1 threshold leave a few thousand non-zero
+Features of a text are the distinct hashes of its words, word pairs, word triples, pairs with
+one word between, and word beginnings (for inflected forms). Per-coordinate learning rates and an L1 threshold leave a few thousand non-zero
 weights out of 2**bits, so the model is a small array that is sent to every task.
 
 Training uses at most `per_class` labelled rows of each class (the rows with the smallest hashes
-of their ids), with weights that restore the classes' shares; it runs as one Spark task over that
+of their ids); it runs as one Spark task over that
 bounded sample, and only the non-zero weights reach the driver.
 
 Defined results: a null text scores as an empty one; a null id is never trained on; of repeated
@@ -19,26 +19,40 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm._rt import Memo, ready
+from vellum.llm._rt import ready
 
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\~`^+=@"
 
 
-def _word(w: str) -> int:
-    return xxhash.xxh32_intdigest(w.strip(EDGE) or w)
+class Words:
+    """Hashes of each word and of its first 4 and 6 letters (inflected forms of a word share these); a bounded table per worker."""
 
+    def __init__(self, cap: int = 300_000):
+        self.cap, self.row, self.hash = cap, {}, np.zeros((cap, 3), np.uint32)
 
-WORDS = Memo(_word)
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.row) + len(words) > self.cap:
+            self.row.clear()
+            if len(words) > self.cap:
+                return np.concatenate([self(words[k : k + self.cap // 2]) for k in range(0, len(words), self.cap // 2)])
+        for w in set(words).difference(self.row):
+            i = self.row[w] = len(self.row)
+            x = w.strip(EDGE) or w
+            self.hash[i] = xxhash.xxh32_intdigest(x), xxhash.xxh32_intdigest(x[:4], 4), xxhash.xxh32_intdigest(x[:6], 6)
+        return self.hash[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))]
+
+
+WORDS = Words()
 
 
 def features(text: str | None, bits: int) -> np.ndarray:
-    """Distinct hashed 1-, 2-, 3-grams and 1-skip pairs of a text, sorted."""
-    words = (text or "").lower().split()
-    h = np.fromiter(map(WORDS.__getitem__, words), np.uint32, len(words)).astype(np.uint64)
-    parts = [h * np.uint64(0x9E3779B97F4A7C15)]
+    """Distinct hashed 1-, 2-, 3-grams, 1-skip pairs and word beginnings of a text, sorted."""
+    table = WORDS((text or "").lower().split()).astype(np.uint64)
+    h = table[:, 0]
+    parts = [h * np.uint64(0x9E3779B97F4A7C15), table[:, 1] * np.uint64(0xA24BAED4963EE407), table[:, 2] * np.uint64(0x9FB21C651E98DF25)]
     if len(h) > 1:
         parts.append((h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[1:] * np.uint64(0x165667B19E3779F9)))
     if len(h) > 2:
@@ -53,7 +67,7 @@ def features(text: str | None, bits: int) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal for binary features; coordinate -1 (the last) is the intercept, without L1."""
 
-    def __init__(self, bits: int = 20, alpha: float = 0.05, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, bits: int = 20, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(2**bits + 1), np.zeros(2**bits + 1)
 
@@ -63,10 +77,10 @@ class Ftrl:
         w = -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) > l1, w, 0.0)
 
-    def learn(self, i: np.ndarray, y: int, weight: float) -> None:
+    def learn(self, i: np.ndarray, y: int) -> None:
         i = np.append(i, len(self.z) - 1)
         w = self.weights(i)
-        g = (_sigmoid(w.sum()) - y) * weight
+        g = _sigmoid(w.sum()) - y
         n = self.n[i]
         self.z[i] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[i] = n + g * g
@@ -82,35 +96,29 @@ def learnable(doc_id: Column) -> Column:
 
 
 def sampled_labels(labels: DataFrame, target: str, per_class: int, allowed: Column) -> DataFrame:
-    """(doc_id, grade, weight): per grade at most per_class rows, those with the smallest id hashes."""
+    """(doc_id, grade): per grade at most per_class rows, those with the smallest id hashes."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & allowed).groupBy("doc_id").agg(F.max(target).cast("int").alias("grade"))
-    grades = [(r["grade"], r["n"]) for r in rows.groupBy("grade").agg(F.count("*").alias("n")).orderBy("grade").collect()]
-    out = None
-    for grade, n in grades:
-        part = rows.where(F.col("grade") == grade).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        part = part.withColumn("weight", F.lit(n / min(n, per_class)))
-        out = part if out is None else out.unionByName(part)
-    return rows.limit(0).withColumn("weight", F.lit(1.0)) if out is None else out
+    first = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")  # cut to per_class before the shuffle, too
+    return rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_class).drop("nth")
 
 
-def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", allowed: Column | None = None, per_class: int = 3000, bits: int = 20, epochs: int = 3, **ftrl) -> dict:
+def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", allowed: Column | None = None, per_class: int = 5000, bits: int = 20, epochs: int = 4, **ftrl) -> dict:
     """Train on the labelled rows; returns {"bits", "index", "weight", "bias"} with the non-zero weights only."""
     ready(documents.sparkSession)
     ids = sampled_labels(labels, target, per_class, F.lit(True) if allowed is None else allowed)
     # at most per_class rows for each class: a proven bound, and shuffled as single rows into one task
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "grade", "weight").repartition(1)
+    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "grade").repartition(1)
 
     def train(batches):
         seen = []
         for b in batches:
-            for d, t, g, w in zip(*(b.column(i).to_pylist() for i in range(4))):
-                seen.append((xxhash.xxh64_intdigest(str(d), 7), d, features(t, bits), int(g > 0), w))
+            for d, t, g in zip(*(b.column(i).to_pylist() for i in range(3))):
+                seen.append((xxhash.xxh64_intdigest(str(d), 7), d, features(t, bits), int(g > 0)))
         seen.sort(key=lambda r: r[:2])
         model = Ftrl(bits, **ftrl)
-        mean = sum(r[4] for r in seen) / max(1, len(seen))
         for _ in range(epochs if len({r[3] for r in seen}) == 2 else 0):
-            for _, _, x, y, w in seen:
-                model.learn(x, y, min(3.0, w / mean))
+            for _, _, x, y in seen:
+                model.learn(x, y)
         i = np.arange(len(model.z))
         w = model.weights(i)
         keep = np.flatnonzero(w)
