@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import licenses, packing, topk, toxicity, warc
+from vellum.llm import licenses, linededup, packing, simhash, topk, toxicity, warc
 from vellum.llm._rt import table
 
 SIZE = 2048
@@ -29,6 +29,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=40, least_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
@@ -37,6 +42,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.links(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), SIZE)
 
@@ -44,8 +53,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
+    "op4_line_dedup": op4_line_dedup,
     "op5_topk": op5_topk,
     "op6_licenses": op6_licenses,
+    "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
 }
 
@@ -62,6 +73,22 @@ SELECT page_id, n AS payload_bytes, d.digest AS payload_digest,
        CASE WHEN n >= 1000 AND keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
 FROM d LEFT JOIN k ON d.digest = k.digest
+""",
+    "op4_line_dedup": """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM d
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), g AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (
+  SELECT r, doc_id, pos, line, keeper IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS dropped FROM k LEFT JOIN g ON k.key = g.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
 """,
     "op5_topk": """
 WITH v AS (

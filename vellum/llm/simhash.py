@@ -87,7 +87,8 @@ def fingerprints(documents: DataFrame, n: int, words: int = 1, distinct: bool =
 def grid_cells(prints: DataFrame, radius: int = 3) -> DataFrame:
     """(k1, k2, id, s0) for every cell of every 64-bit fingerprint `f0`, natively: two-bit segments."""
     groups = [[s for s in range(32) if s * 2 * radius // 32 == g] for g in range(2 * radius)]
-    counts = F.col("f0").bitwiseAND(F.lit(-1)) - F.shiftrightunsigned("f0", 1).bitwiseAND(F.lit(PAIRS))  # each two-bit field now holds its bit count
+    low, high = F.col("f0").bitwiseAND(F.lit(PAIRS)), F.shiftrightunsigned("f0", 1).bitwiseAND(F.lit(PAIRS))
+    counts = F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))  # each two-bit field holds its bit count
     cells = []
     for i, chosen in enumerate(combinations(groups, radius)):
         mask = sum(3 << (2 * s) for g in chosen for s in g)

@@ -58,7 +58,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
-NONE = np.iinfo(np.int64).min
+NONE = -(2**62)  # below every score; its negative is a long, too
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 4096) -> DataFrame:
