@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import licenses, linededup, packing, simhash, topk, toxicity, warc
+from vellum.llm import licenses, linededup, packing, ppm, simhash, topk, toxicity, warc
 from vellum.llm._rt import table
 
 SIZE = 2048
@@ -50,6 +50,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), SIZE)
 
 
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.crc32(F.col("doc_id").cast("string")) % 5
+    out = ppm.score(table(spark, sf_dir, "documents"), F.coalesce(rest != 1, F.lit(False)))
+    return out.select("doc_id", (rest == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
@@ -58,6 +64,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op10_ppm": op10_ppm,
 }
 
 ORACLE = {
