@@ -235,7 +235,7 @@ class Adaptive:
             node[s] = node.get(s, 0) + 1
 
 
-def train(texts: DataFrame, order: int = 4, max_windows: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: DataFrame, order: int = 5, max_windows: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """(windows, counts) of the trie; see the module for the bound."""
     counts = store(count_windows(texts, order), "windows")
     least = least_count(counts, max_windows)
@@ -269,7 +269,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 FIRST = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,n:long>>"
 
 
-def score(documents: DataFrame, trained_on: Column, order: int = 4, max_windows: int = 2_000_000, max_words: int = 300_000) -> DataFrame:
+def score(documents: DataFrame, trained_on: Column, order: int = 5, max_windows: int = 2_000_000, max_words: int = 300_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     ready(documents.sparkSession)
     texts = documents.where(trained_on).select("text")
