@@ -39,9 +39,10 @@ class WarcError(ValueError):
 
 
 def train_dictionary(pages: DataFrame, column: str = "html", rows: int = 400, size: int = 32768, most: int = 65536) -> bytes:
-    """A dictionary from at most `rows` payloads (those with the smallest hashes), `most` bytes of each; it has a fixed bound."""
-    part = pages.where(F.length(column) > 0).select(F.substring(F.col(column).cast("binary"), 1, most).alias("x")).orderBy(F.xxhash64("x")).limit(rows)
-    samples = [bytes(r["x"]) for r in part.collect()]
+    """A dictionary from at most `rows` payloads (those with the smallest hashes of their ids), `most` bytes of each; it has a fixed bound."""
+    ids = pages.where(F.col("page_id").isNotNull() & (F.length(column) > 0)).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(rows)
+    part = pages.join(F.broadcast(ids), "page_id").select(F.substring(F.col(column).cast("binary"), 1, most).alias("x")).limit(rows)
+    samples = sorted(bytes(r["x"]) for r in part.collect())
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples for training: plain content is a dictionary too
