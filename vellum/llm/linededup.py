@@ -29,6 +29,7 @@ from vellum.llm._rt import discard, new_path, ready, store
 
 SPACE = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
+RUN = "h1 long, h2 long, docs long, keeper long"
 
 
 def lines(text: Column) -> Column:
@@ -57,7 +58,7 @@ class Runs:
 
     def add(self, batch: DataFrame) -> None:
         """Add one batch of distinct (h1, h2, doc_id): anti-join with every run, then a run of its own."""
-        own = batch.groupBy(*KEY).agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("last"))
+        own = batch.groupBy(*KEY).agg(F.count("doc_id").alias("docs"), F.max(F.col("doc_id").cast("long")).alias("last"))
         runs = self.tables()
         if not runs:
             self._write(own.withColumnRenamed("last", "keeper"), 0)
@@ -67,7 +68,7 @@ class Runs:
                 fresh = fresh.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
                 part = own.join(run.select(*KEY).hint("merge"), KEY, "left_semi")
                 seen = part if seen is None else seen.unionByName(part)
-            late = seen.groupBy(*KEY).agg(F.first("docs").alias("docs")).withColumn("keeper", F.lit(None).cast(dict(own.dtypes)["last"]))
+            late = seen.groupBy(*KEY).agg(F.first("docs").alias("docs")).withColumn("keeper", F.lit(None).cast("long"))
             self._write(fresh.withColumnRenamed("last", "keeper").unionByName(late), 0)
         self.compact()
 
@@ -84,8 +85,9 @@ class Runs:
     def merged(self, runs: list[tuple[str, str]] | None = None) -> DataFrame:
         """One row per hash over the given runs, or over all."""
         out = None
-        for name, _ in runs if runs is not None else [r for level in self.levels.values() for r in level]:
-            t = self.spark.table(name)
+        for _, path in runs if runs is not None else [r for level in self.levels.values() for r in level]:
+            # read as plain files: a union of bucketed tables passes for bucketed itself, which is wrong where one has empty buckets
+            t = self.spark.read.schema(RUN).parquet(path)
             out = t if out is None else out.unionByName(t)
         return out.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
 
