@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum import model as M
 from vellum.functions import geometry as G
+from vellum.operators.paged import boxes, by_page
 
 
 def typed(label: Column) -> Column:
@@ -124,18 +124,10 @@ def surviving(boxes: list[tuple], types: list[str], scores: list[float]) -> list
     return [i for i in rank if i not in gone]
 
 
-def _boxes(pdf: pd.DataFrame) -> list[tuple]:
-    return [(b["x0"], b["y0"], b["x1"], b["y1"]) for b in pdf["bbox"]]
-
-
-def deduped(regions: DataFrame, page: str = "doc_id") -> DataFrame:
+def deduped(regions: DataFrame, page: str = "doc_id", tie: str = "id") -> DataFrame:
     """Overlapping detections resolved page by page (the outcome depends on the order of visits); columns type, bbox and score are used."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([c for c in ("idx", "id") if c in pdf.columns]) if {"idx", "id"} & set(pdf.columns) else pdf
-        return pdf.iloc[surviving(_boxes(pdf), list(pdf["type"]), [s if s is not None else 0.0 for s in pdf["score"]])]
-
-    return regions.groupBy(page).applyInPandas(one, regions.schema)
+    fields = {"bbox": boxes(F.col("bbox")), "type": F.col("type"), "score": F.coalesce("score", F.lit(0.0))}
+    return by_page(regions, page, [tie], lambda b, t, s: [(i, 0) for i in surviving(b, t, s)], fields, None)
 
 
 def grouped_lines(lines: list[tuple]) -> list[list[int]]:
@@ -155,12 +147,7 @@ def grouped_lines(lines: list[tuple]) -> list[list[int]]:
     return [g["at"] for g in groups]
 
 
-def line_groups(lines: DataFrame, page: str = "doc_id") -> DataFrame:
+def line_groups(lines: DataFrame, page: str = "doc_id", tie: str = "id") -> DataFrame:
     """lines with the number of their group."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        number = {i: g for g, at in enumerate(grouped_lines(_boxes(pdf))) for i in at}
-        return pdf.assign(line_group=[number[i] for i in range(len(pdf))])
-
-    return lines.groupBy(page).applyInPandas(one, lines.withColumn("line_group", F.lit(0).cast("int")).schema)
+    kernel = lambda b: [(i, g) for g, at in enumerate(grouped_lines(b)) for i in at]
+    return by_page(lines, page, [tie], kernel, {"bbox": boxes(F.col("bbox"))}, "line_group")

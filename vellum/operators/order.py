@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
+from vellum.operators.paged import boxes, by_page
 
 FLOATING = ("stamp",)
 INSET, DEPTH = 0.08, 40
@@ -66,18 +66,11 @@ def reading_order(boxes: list[tuple], types: list[str], direction: str) -> list[
     return fixed
 
 
-def ordered(blocks: DataFrame, page: str = "doc_id") -> DataFrame:
-    """blocks with their `order` on the page; direction is a column of the page. One call holds one page, tens of rows."""
-    out = blocks.withColumn("order", F.lit(0).cast("int"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True) if "id" in pdf.columns else pdf.reset_index(drop=True)
-        boxes = [(b["x0"], b["y0"], b["x1"], b["y1"]) for b in pdf["bbox"]]
-        place = {i: k for k, i in enumerate(reading_order(boxes, list(pdf["type"]), pdf["page_direction"].iloc[0] if "page_direction" in pdf.columns else "rtl"))}
-        pdf["order"] = [place[i] for i in range(len(pdf))]
-        return pdf[out.columns]
-
-    return blocks.groupBy(page).applyInPandas(one, out.schema)
+def ordered(blocks: DataFrame, page: str = "doc_id", tie: str = "id") -> DataFrame:
+    """blocks with their `order` on the page; page_direction is a column, else rtl."""
+    fields = {"bbox": boxes(F.col("bbox")), "type": F.col("type"), "direction": F.col("page_direction") if "page_direction" in blocks.columns else F.lit("rtl")}
+    kernel = lambda b, t, d: [(i, k) for k, i in enumerate(reading_order(b, t, d[0]))]
+    return by_page(blocks, page, [tie], kernel, fields, "order")
 
 
 def row_order(x0: Column, y0: Column, x1: Column, direction: Column) -> list[Column]:

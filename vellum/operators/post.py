@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ from vellum.config import Confidence, Docx
 from vellum.functions import geometry as G
 from vellum.functions import scoring as S
 from vellum.functions import text as T
+from vellum.operators.paged import boxes, by_page
 
 STRIP = r"(?U)^\s+|\s+$"
 
@@ -221,24 +221,25 @@ def best_part(short: str, long: str) -> tuple[float, int, int]:
     return best
 
 
-def without_duplicates(blocks: DataFrame, page: str = "doc_id") -> DataFrame:
-    """Blocks without those whose text is also in an overlapping block of longer text; page by page, as it depends on what went before. `compare` is T.comparable(text)."""
+def distinct_texts(boxes: list, types: list[str], texts: list[str]) -> list[int]:
+    """Places of the blocks that stay: one goes when an overlapping block that stays has a longer text with (nearly) all of its own in it."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        boxes = [(b["x0"], b["y0"], b["x1"], b["y1"]) for b in pdf["bbox"]]
-        texts, gone = [t or "" for t in pdf["compare"]], set()
+    def share(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        return w * h / max(1e-6, min((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b))) if w > 0 and h > 0 else 0.0
 
-        def share(a, b):
-            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-            return w * h / max(1e-6, min((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b))) if w > 0 and h > 0 else 0.0
+    gone: set[int] = set()
+    for i, t in enumerate(texts):
+        others = (j for j in range(len(texts)) if j != i and j not in gone and len(texts[j]) > len(t))
+        if t and types[i] in M.TEXT_TYPES and any(share(boxes[i], boxes[j]) > 0.2 and partial_ratio(t, texts[j]) >= 90 for j in others):
+            gone.add(i)
+    return [i for i in range(len(texts)) if i not in gone]
 
-        for i, t in enumerate(texts):
-            if t and pdf["type"][i] in M.TEXT_TYPES and any(j != i and j not in gone and len(texts[j]) > len(t) and share(boxes[i], boxes[j]) > 0.2 and partial_ratio(t, texts[j]) >= 90 for j in range(len(texts))):
-                gone.add(i)
-        return pdf.drop(index=list(gone)).drop(columns="compare")
 
-    return blocks.withColumn("compare", T.comparable(F.coalesce("text", F.lit("")))).groupBy(page).applyInPandas(one, blocks.schema)
+def without_duplicates(blocks: DataFrame, page: str = "doc_id", tie: str = "id") -> DataFrame:
+    """Blocks without those whose text is also in an overlapping block of longer text; page by page, as it depends on what went before."""
+    fields = {"bbox": boxes(F.col("bbox")), "type": F.col("type"), "text": T.comparable(F.coalesce("text", F.lit("")))}
+    return by_page(blocks, page, [tie], lambda b, t, s: [(i, 0) for i in distinct_texts(b, t, s)], fields, None)
 
 
 def batch_report(results: DataFrame) -> DataFrame:

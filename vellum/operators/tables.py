@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -271,3 +271,21 @@ def html_of(cells: Column) -> Column:
 
     body = F.transform(rows, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.filter(at, lambda x: x.row == r), one), ""), F.lit("</tr>")))
     return F.concat(F.lit("<table>"), F.array_join(body, ""), F.lit("</table>"))
+
+
+def cells_of(df: DataFrame, key: str, markup: str) -> DataFrame:
+    """A row for each cell of each table: key, row, col, rowspan, colspan, text, header."""
+    names = ["row", "col", "rowspan", "colspan", "text", "header"]
+
+    def run(batches):
+        for b in batches:
+            keys, cells = [], []
+            for k, x in enumerate(b.column(1).to_pylist()):
+                found = grid(x)[0]
+                keys += [k] * len(found)
+                cells += [vars(c) for c in found]
+            flat = pa.array(cells, _CELL)
+            yield pa.record_batch([b.column(0).take(pa.array(keys, pa.int32())), *(flat.field(n) for n in names)], [key, *names])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, markup).mapInArrow(run, f"`{key}` {kind}, row int, col int, rowspan int, colspan int, text string, header boolean")

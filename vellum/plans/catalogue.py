@@ -1,6 +1,714 @@
-"""The catalogue of queries, by name, with their SQL."""
+"""The catalogue of queries over the given tables, each with its SQL where SQL can express it.
+
+The tables hold no page images, so most queries first project their rows into the shape of the
+document model: an order is a page, its lines are blocks, with boxes from whole-number arithmetic
+that any engine repeats exactly. `ar()` writes letters in Arabic script for a third of the texts.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vellum import model as M
+from vellum.functions import geometry as G
+from vellum.functions import scoring as S
+from vellum.functions import text as T
+from vellum.operators import evaluate as E
+from vellum.operators import layout as L
+from vellum.operators import order as O
+from vellum.operators import post as P
+from vellum.operators import tables as TB
+from vellum.session import prepared
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ARABIC = "ابتثجحخدذرزسشصضطظعغفقكلمنهو"[:26]
+TIE = ["l_partkey", "l_suppkey"]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepared(spark)
+            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+        run.__name__, run.__doc__ = name, f.__doc__
+        QUERIES[name] = run
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def ascii_part(c: Column) -> Column:
+    return F.regexp_replace(c, "[^ -~]", "")
+
+
+def arabic(text: Column, doc_id: Column) -> Column:
+    return F.when(doc_id % 3 == 0, F.translate(F.lower(text), LETTERS, ARABIC)).otherwise(text)
+
+
+ARABIC_SQL = f"CASE WHEN doc_id % 3 = 0 THEN translate(lower(text), '{LETTERS}', '{ARABIC}') ELSE text END"
+BOX_SQL = """
+SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_discount, l_tax,
+       CAST(l_partkey % 800 AS DOUBLE) AS x0, CAST(l_linenumber * 97 % 600 AS DOUBLE) AS y0,
+       CAST(l_partkey % 800 + 40 + l_suppkey % 200 AS DOUBLE) AS x1, CAST(l_linenumber * 97 % 600 + 20 + CAST(l_quantity AS INTEGER) AS DOUBLE) AS y1
+FROM lineitem"""
+TYPES = ("paragraph", "title", "table", "header", "footer", "stamp", "logo")
+
+
+def boxes(lineitem: DataFrame) -> DataFrame:
+    x0, y0 = F.col("l_partkey") % 800, F.col("l_linenumber") * 97 % 600
+    box = G.box(x0, y0, x0 + 40 + F.col("l_suppkey") % 200, y0 + 20 + F.col("l_quantity").cast("int"))
+    kind = F.get(F.array(*map(F.lit, TYPES)), (F.col("l_partkey") % 7).cast("int"))
+    return lineitem.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", *TIE, "l_quantity", "l_returnflag", "l_discount", "l_tax", box.alias("bbox"), kind.alias("type"))
+
+
+def block_key() -> Column:
+    return F.concat_ws("-", "l_linenumber", *TIE)
+
+
+KEY_SQL = "concat_ws('-', l_linenumber, l_partkey, l_suppkey)"
+
+
+# ---- evaluation ----
+
+REF = "substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 200)"
+
+
+def facts(get) -> DataFrame:
+    d = get("documents")
+    ref = F.substring(ascii_part(F.col("text")), 1, 200)
+    hyp = F.translate(ref, "aeio", "eao")
+    return d.select("doc_id", "lang", "source", ref.alias("ref"), hyp.alias("hyp"))
+
+
+@query(
+    "q01_error_rates",
+    f"""
+WITH f AS (
+  SELECT lang, source, {REF} AS ref FROM documents
+), h AS (
+  SELECT lang, source, ref, replace(translate(ref, 'aei', 'eao'), chr(1), '') AS hyp0 FROM f
+), g AS (
+  SELECT lang, source, ref, translate(replace(ref, 'o', ''), 'aei', 'eao') AS hyp FROM f
+)
+SELECT lang, source, count(*) AS n, CAST(sum(levenshtein(ref, hyp)) AS BIGINT) AS edits, CAST(sum(length(ref)) AS BIGINT) AS chars,
+       sum(levenshtein(ref, hyp)) / greatest(sum(length(ref)), 1) AS cer
+FROM g GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())
+""",
+)
+def error_rates(get):
+    """Flagship: character error rates by language and source, for all groupings in one pass."""
+    f = facts(get)
+    edits, chars = F.sum(F.levenshtein("ref", "hyp")), F.sum(F.char_length("ref"))
+    return f.groupingSets([[F.col("lang")], [F.col("source")], [F.col("lang"), F.col("source")], []], F.col("lang"), F.col("source")).agg(
+        F.count("*").alias("n"), edits.cast("long").alias("edits"), chars.cast("long").alias("chars"), (edits / F.greatest(chars, F.lit(1))).alias("cer")
+    )
+
+
+@query(
+    "q02_normalised_text",
+    r"""
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(t, '[\x{200e}\x{200f}\x{061c}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}]', '', 'g'), '[\s\x{0b}\x{85}\p{Z}]+', ' ', 'g'), ' ')) AS squeezed,
+       md5(regexp_replace(t, '[\p{P}\s\x{0b}\x{85}\p{Z}\x{200e}\x{200f}\x{061c}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}\x{640}\x{610}-\x{61a}\x{64b}-\x{65f}\x{670}\x{6d6}-\x{6ed}]', '', 'g')) AS comparable
+FROM (SELECT doc_id, replace(text, ' the ', ' ' || chr(8207) || 'the  ') AS t FROM documents)
+""",
+)
+def normalised_text(get):
+    t = F.replace(F.col("text"), F.lit(" the "), F.lit(" ‏the  "))
+    return get("documents").select("doc_id", F.md5(T.squeeze(t, compose=False)).alias("squeezed"), F.md5(T.comparable(t, compose=False)).alias("comparable"))
+
+
+@query("q03_composed", "SELECT doc_id, md5(nfc_normalize(replace(text, 'e', 'e' || chr(769)))) AS composed FROM documents")
+def composed(get):
+    return get("documents").select("doc_id", F.md5(T.nfc(F.replace(F.col("text"), F.lit("e"), F.lit("e\u0301")))).alias("composed"))
+
+
+RTL_SQL = "length(regexp_replace(t, '[^\\x{620}-\\x{64a}\\x{5d0}-\\x{5ea}]', '', 'g'))"
+LTR_SQL = "length(regexp_replace(t, '[^A-Za-z]', '', 'g'))"
+
+
+@query(
+    "q04_scripts",
+    f"""
+WITH d AS (SELECT doc_id, {ARABIC_SQL} AS t FROM documents), c AS (SELECT doc_id, {RTL_SQL} AS r, {LTR_SQL} AS l FROM d)
+SELECT doc_id, r AS rtl, l AS latin,
+       CASE WHEN r + l = 0 THEN NULL WHEN l <= 0.05 * (r + l) THEN 'ar' WHEN r <= 0.05 * (r + l) THEN 'en' ELSE 'mixed' END AS lang,
+       CASE WHEN r + l = 0 OR r >= l THEN 'rtl' ELSE 'ltr' END AS direction
+FROM c
+""",
+)
+def scripts(get):
+    t = arabic(F.col("text"), F.col("doc_id"))
+    return get("documents").select("doc_id", T.count_rtl(t).cast("long").alias("rtl"), T.count_latin(t).cast("long").alias("latin"), T.language(t).alias("lang"), T.direction(t).alias("direction"))
+
+
+@query(
+    "q05_page_direction",
+    f"""
+WITH d AS (
+  SELECT conv_id, role, CASE WHEN (conv_id + turn) % 3 = 0 THEN translate(lower(text), '{LETTERS}', '{ARABIC}') ELSE text END AS t FROM conversations
+), c AS (
+  SELECT conv_id, sum({RTL_SQL} * CASE WHEN role = 'system' THEN 3 ELSE 10 END) AS r, sum({LTR_SQL} * CASE WHEN role = 'system' THEN 3 ELSE 10 END) AS l FROM d GROUP BY conv_id
+)
+SELECT conv_id, CASE WHEN r + l = 0 OR r >= l THEN 'rtl' ELSE 'ltr' END AS page_direction FROM c
+""",
+)
+def page_direction(get):
+    c = get("conversations")
+    t = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.translate(F.lower("text"), LETTERS, ARABIC)).otherwise(F.col("text"))
+    return P.page_directions(c.select("conv_id", F.when(F.col("role") == "system", "header").otherwise("paragraph").alias("type"), t.alias("text")), "conv_id")
+
+
+def order_text(get) -> DataFrame:
+    o = get("orders")
+    day = F.date_format("o_orderdate", "dd/MM/yyyy")
+    line = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Date: "), day)).otherwise(F.concat(F.lit("Date: "), T.arabic_digits(day)))
+    return o.select("o_orderkey", "o_custkey", "o_orderdate", line.alias("date_line"), F.concat(F.lit("Ref. No.: "), F.col("o_custkey"), F.lit("/"), F.col("o_orderkey")).alias("ref_line"))
+
+
+@query("q06_dates", "SELECT o_orderkey, 'gregorian' AS calendar, strftime(o_orderdate, '%Y-%m-%d') AS normalized, 1 AS n FROM orders")
+def find_dates(get):
+    d = order_text(get).withColumn("d", T.dates(F.col("date_line"), F.col("o_orderkey").cast("string")))
+    return d.select("o_orderkey", F.col("d")[0].calendar.alias("calendar"), F.col("d")[0].normalized.alias("normalized"), F.size("d").alias("n"))
+
+
+@query("q07_document_numbers", "SELECT o_orderkey, 'Ref. No.: ' || o_custkey || '/' || o_orderkey AS raw, o_custkey || '/' || o_orderkey AS value_latin, 'reference' AS role FROM orders")
+def document_numbers(get):
+    d = order_text(get).select("o_orderkey", F.explode(T.doc_numbers(F.col("ref_line"), F.lit("b"), F.lit(False))).alias("n"))
+    return d.select("o_orderkey", "n.raw", "n.value_latin", "n.role")
+
+
+@query(
+    "q08_refined_types",
+    """
+SELECT kind, refined, count(*) AS n FROM (
+  SELECT 'date' AS kind, 'date' AS refined FROM orders
+  UNION ALL SELECT 'number', 'doc_number' FROM orders
+  UNION ALL SELECT 'text', 'paragraph' FROM documents
+) GROUP BY kind, refined
+""",
+)
+def refined_types(get):
+    o = order_text(get)
+    plain = F.concat(F.lit("about "), F.regexp_replace(F.substring(ascii_part(F.col("text")), 1, 40), "[^a-z ]", ""))
+    rows = o.select(F.lit("date").alias("kind"), F.col("date_line").alias("t")).unionByName(o.select(F.lit("number").alias("kind"), F.col("ref_line").alias("t"))).unionByName(get("documents").select(F.lit("text").alias("kind"), plain.alias("t")))
+    return rows.groupBy("kind", T.refined_type(F.lit("paragraph"), F.col("t")).alias("refined")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "q09_split_lines",
+    """
+SELECT o_orderkey, o_orderkey || '_0' AS id, 'doc_number' AS type, 0.0::DOUBLE AS y0, 20.0::DOUBLE AS y1 FROM orders
+UNION ALL SELECT o_orderkey, o_orderkey || '_1', 'date', 20.0, 40.0 FROM orders
+""",
+)
+def split_lines(get):
+    o = order_text(get).select("o_orderkey", F.col("o_orderkey").cast("string").alias("id"), F.lit("paragraph").alias("type"), F.concat("ref_line", F.lit("\n"), "date_line").alias("text"), G.box(0, 0, 100, 40).alias("bbox"))
+    return P.split_lines(o).select("o_orderkey", "id", "type", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"))
+
+
+COMPARE_SQL = "regexp_replace(substr(regexp_replace({}, '[^ -~]', '', 'g'), 1, 150), '[[:punct:]\\s]', '', 'g')"
+
+
+@query(
+    "q10_agreement",
+    r"""
+WITH d AS (
+  SELECT doc_id, source, regexp_replace(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 150), '[\p{P}\s]', '', 'g') AS a FROM documents
+), p AS (
+  SELECT doc_id, a, lag(a) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM d
+)
+SELECT doc_id, CASE WHEN b IS NULL THEN NULL WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END AS agree FROM p
+""",
+)
+def agreement(get):
+    d = get("documents").select("doc_id", "source", F.substring(ascii_part(F.col("text")), 1, 150).alias("a"))
+    b = F.lag("a").over(Window.partitionBy("source").orderBy("doc_id"))
+    return d.withColumn("b", b).select("doc_id", S.agreement(F.col("a"), F.col("b"), compose=False).alias("agree"))
+
+
+@query(
+    "q11_block_scores",
+    """
+WITH s AS (
+  SELECT l_returnflag, l_linestatus, CASE WHEN l_returnflag = 'R' THEN NULL ELSE 1 - CAST(round(l_discount * 100) AS INTEGER) / 100.0::DOUBLE END AS conf,
+         CASE WHEN l_linestatus = 'O' THEN NULL ELSE CAST(round(l_tax * 100) AS INTEGER) / 8.0::DOUBLE END AS agree, l_linenumber FROM lineitem
+), r AS (
+  SELECT *, CASE WHEN agree IS NULL THEN coalesce(conf, 0.5) ELSE 0.6::DOUBLE * coalesce(conf, 0.5) + 0.4::DOUBLE * agree END - CASE WHEN l_linenumber = 4 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS s0 FROM s
+), t AS (
+  SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN l_linenumber = 5 THEN least(s0, 0.2::DOUBLE) ELSE s0 END)) AS s1 FROM r
+)
+SELECT l_linenumber, l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (WHERE s1 < 0.7499 OR l_linenumber = 4) AS low, CAST(sum(round(s1 * 1000)) AS BIGINT) AS total
+FROM t WHERE abs(s1 - 0.75) > 0.0002 AND abs(s1 * 1000 - floor(s1 * 1000) - 0.5) > 0.001 GROUP BY ALL
+""",
+)
+def block_scores(get):
+    conf = F.when(F.col("l_returnflag") == "R", None).otherwise(1 - F.round(F.col("l_discount") * 100).cast("int") / 100.0)
+    agree = F.when(F.col("l_linestatus") == "O", None).otherwise(F.round(F.col("l_tax") * 100).cast("int") / 8.0)
+    kind = F.when(F.col("l_linenumber") == 4, "handwritten_note").otherwise("paragraph")
+    text = F.when(F.col("l_linenumber") == 5, " ").otherwise("some text")
+    d = get("lineitem").select("l_linenumber", "l_returnflag", "l_linestatus", S.raw_block_score(kind, text, conf, agree).alias("s"), S.score_block(kind, text, F.lit(None).cast("string"), conf, agree, F.array().cast("array<string>")).alias("b"))
+    d = d.where((F.abs(F.col("s") - 0.75) > 0.0002) & (F.abs(F.col("s") * 1000 - F.floor(F.col("s") * 1000) - 0.5) > 0.001))
+    return d.groupBy("l_linenumber", "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count_if("b.needs_review").alias("low"), F.sum(F.round(F.col("s") * 1000)).cast("long").alias("total"))
+
+
+@query(
+    "q12_page_review",
+    """
+SELECT l_orderkey AS doc_id, sum(CAST(l_quantity AS INTEGER) * (100 - CAST(round(l_discount * 100) AS INTEGER)))::BIGINT / (100 * sum(CAST(l_quantity AS INTEGER))::BIGINT) AS score,
+       CAST(count(*) FILTER (WHERE l_discount > 0.085) AS BIGINT) AS flagged,
+       sum(CAST(l_quantity AS INTEGER) * (100 - CAST(round(l_discount * 100) AS INTEGER))) < 95 * sum(CAST(l_quantity AS INTEGER)) OR count(*) FILTER (WHERE l_discount > 0.085) > 0 AS needs_review
+FROM lineitem GROUP BY l_orderkey
+""",
+)
+def page_review(get):
+    """Length-weighted page scores with whole-number weights, so that both engines agree to the last bit."""
+    n, c = F.col("l_quantity").cast("int"), 100 - F.round(F.col("l_discount") * 100).cast("int")
+    d = get("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sum(n * c).alias("t"), F.sum(n).alias("n"), F.count_if(F.col("l_discount") > 0.085).alias("flagged"))
+    return d.select("doc_id", (F.col("t") / (100 * F.col("n"))).alias("score"), "flagged", ((F.col("t") < 95 * F.col("n")) | (F.col("flagged") > 0)).alias("needs_review"))
+
+
+@query("q12b_page_review_reasons")
+def page_review_reasons(get):
+    """The operator itself: scores, review state and reasons of every page."""
+    b = boxes(get("lineitem")).select("doc_id", "type", F.lit("text").alias("text"), (1 - F.col("l_discount")).alias("confidence"), (F.col("l_discount") > 0.085).alias("needs_review"), F.struct("l_linenumber", *TIE).alias("order"), block_key().alias("id"))
+    return P.page_review(b)
+
+
+INTER_SQL = "greatest(0.0::DOUBLE, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0::DOUBLE, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
+TOUCH_SQL = "a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
+
+
+@query(
+    "q13_containment",
+    f"""
+WITH t AS ({BOX_SQL}), k AS (SELECT *, {KEY_SQL} AS id FROM t)
+SELECT a.doc_id, a.id AS inner_id, b.id AS outer_id FROM k a JOIN k b ON a.doc_id = b.doc_id AND {TOUCH_SQL} AND a.id <> b.id
+WHERE {INTER_SQL} >= 0.5 * ((a.x1 - a.x0) * (a.y1 - a.y0))
+""",
+)
+def containment(get):
+    b = boxes(get("lineitem")).withColumn("id", block_key()).select("doc_id", "id", "bbox")
+    pairs = L.contained_pairs(b, b, 0.5).where("a.id <> b.id")
+    return pairs.select("doc_id", F.col("a.id").alias("inner_id"), F.col("b.id").alias("outer_id"))
+
+
+def _iou_sql(how: str) -> str:
+    return f"""
+WITH t AS ({BOX_SQL}), k AS (SELECT *, {KEY_SQL} AS id, l_partkey % 7 AS kind FROM t)
+SELECT a.doc_id, a.id FROM k a WHERE {how} (
+  SELECT 1 FROM (SELECT doc_id, kind, x0 + 15 AS x0, y0 + 5 AS y0, x1 + 15 AS x1, y1 + 5 AS y1 FROM k WHERE l_suppkey % 2 = 0) b
+  WHERE a.doc_id = b.doc_id AND a.kind = b.kind AND {TOUCH_SQL}
+    AND {INTER_SQL} > 0.25 * ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {INTER_SQL}))
+"""
+
+
+def _iou(get, how: str) -> DataFrame:
+    a = boxes(get("lineitem")).withColumn("id", block_key())
+    o = F.col("bbox")
+    b = a.where("l_suppkey % 2 = 0").select("doc_id", "type", G.box(o.x0 + 15, o.y0 + 5, o.x1 + 15, o.y1 + 5).alias("bbox"))
+    return L.matched(a, b, how).select("doc_id", "id")
+
+
+@query("q14_iou_matched", _iou_sql("EXISTS"))
+def iou_matched(get):
+    return _iou(get, "left_semi")
+
+
+@query("q14b_iou_missed", _iou_sql("NOT EXISTS"))
+def iou_missed(get):
+    return _iou(get, "left_anti")
+
+
+@query(
+    "q15_tiled",
+    f"""
+WITH t AS ({BOX_SQL}), k AS (SELECT *, {KEY_SQL} AS id FROM t)
+SELECT b.doc_id, b.id, count(*) AS inner_boxes, sum({INTER_SQL}) AS covered,
+       count(*) >= 2 AND sum({INTER_SQL}) > 0.6 * max((b.x1 - b.x0) * (b.y1 - b.y0)) AS tiled
+FROM k a JOIN k b ON a.doc_id = b.doc_id AND {TOUCH_SQL} AND a.id <> b.id
+WHERE {INTER_SQL} > 0.5 * ((a.x1 - a.x0) * (a.y1 - a.y0)) GROUP BY b.doc_id, b.id
+""",
+)
+def tiled(get):
+    b = boxes(get("lineitem")).withColumn("id", block_key()).withColumn("type", F.lit("paragraph")).select("doc_id", "id", "type", "bbox")
+    areas = b.select("doc_id", "id", F.greatest(G.area(F.col("bbox")), F.lit(1.0)).alias("a"))
+    return L.tiled_by(b).join(areas, ["doc_id", "id"]).select("doc_id", "id", F.col("inner").alias("inner_boxes"), F.round(F.col("cover") * F.col("a")).alias("covered"), "tiled")
+
+
+@query(
+    "q16_islands",
+    f"""
+WITH t AS ({BOX_SQL}), m AS (
+  SELECT *, max(x1) OVER (PARTITION BY doc_id ORDER BY x0, x1, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t
+)
+SELECT doc_id, {KEY_SQL} AS id, CAST(sum(CASE WHEN reach IS NULL OR x0 > reach + 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY x0, x1, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM m
+""",
+)
+def islands(get):
+    b = boxes(get("lineitem"))
+    return L.islands(b, ["doc_id"], F.col("bbox.x0"), F.col("bbox.x1"), ["l_linenumber", *TIE], 10.0).select("doc_id", block_key().alias("id"), "grp")
+
+
+@query(
+    "q17_clusters",
+    """
+WITH v AS (SELECT o_custkey, o_orderkey, floor(o_totalprice)::BIGINT AS v FROM orders), s AS (
+  SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY o_custkey ORDER BY v, o_orderkey) <= 20000 THEN 0 ELSE 1 END AS step FROM v
+), c AS (
+  SELECT *, sum(step) OVER (PARTITION BY o_custkey ORDER BY v, o_orderkey ROWS UNBOUNDED PRECEDING) AS cluster FROM s
+)
+SELECT o_custkey, CAST(cluster AS BIGINT) AS cluster, sum(v)::BIGINT / count(*) AS center, count(*) AS n FROM c GROUP BY o_custkey, cluster
+""",
+)
+def clusters(get):
+    return L.clusters(get("orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], F.floor("o_totalprice").cast("long"), 20000, ["o_orderkey"])
+
+
+@query(
+    "q18_ids_and_gaps",
+    f"""
+WITH t AS ({BOX_SQL}), r AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y0, l_linenumber, l_partkey, l_suppkey) AS n,
+         last_value(CASE WHEN l_partkey % 7 <> 5 THEN y1 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY y0, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bottom FROM t
+)
+SELECT doc_id, 'b' || lpad(CAST(n AS VARCHAR), 3, '0') AS id, {KEY_SQL} AS line,
+       round(CASE WHEN bottom IS NULL THEN 0.0 ELSE least(greatest((y0 - bottom) / 8.0 * 2.83465 * 0.6, 0.0), 30.0) END, 6) AS gap_pt FROM r
+""",
+)
+def ids_and_gaps(get):
+    b = boxes(get("lineitem")).withColumn("y0", F.col("bbox.y0")).withColumn("px_per_mm", F.lit(8.0))
+    b = O.gap_above(O.numbered(b, by=("y0", "l_linenumber", *TIE)))
+    return b.select("doc_id", "id", block_key().alias("line"), F.round("gap_pt", 6).alias("gap_pt"))
+
+
+@query(
+    "q19_header_prefix",
+    f"""
+SELECT l_orderkey AS doc_id, {KEY_SQL} AS id, bool_and(l_returnflag <> 'R') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS header FROM lineitem
+""",
+)
+def header_prefix(get):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *TIE).rowsBetween(Window.unboundedPreceding, 0)
+    return get("lineitem").select(F.col("l_orderkey").alias("doc_id"), block_key().alias("id"), F.min(F.col("l_returnflag") != "R").over(w).alias("header"))
+
+
+@query(
+    "q20_row_order",
+    f"""
+WITH t AS ({BOX_SQL})
+SELECT doc_id, {KEY_SQL} AS id, row_number() OVER (PARTITION BY doc_id ORDER BY round_even(y0 / 20, 0), CASE WHEN doc_id % 2 = 0 THEN -x1 ELSE x0 END, l_linenumber, l_partkey, l_suppkey) AS place FROM t
+""",
+)
+def row_order(get):
+    b, o = boxes(get("lineitem")), F.col("bbox")
+    keys = O.row_order(o.x0, o.y0, o.x1, F.when(F.col("doc_id") % 2 == 0, "rtl").otherwise("ltr"))
+    return b.select("doc_id", block_key().alias("id"), F.row_number().over(Window.partitionBy("doc_id").orderBy(*keys, "l_linenumber", *TIE)).cast("long").alias("place"))
+
+
+@query("q21_reading_order")
+def reading_order(get):
+    """Recursive cuts of every page."""
+    b = boxes(get("lineitem")).withColumn("id", block_key()).withColumn("page_direction", F.when(F.col("doc_id") % 2 == 0, "rtl").otherwise("ltr"))
+    return O.ordered(b).select("doc_id", "id", "type", "order")
+
+
+@query("q21b_deduped_regions")
+def deduped_regions(get):
+    """Overlapping detections of every page resolved."""
+    b = boxes(get("lineitem")).select("doc_id", block_key().alias("id"), "type", "bbox", (1 - F.col("l_discount")).alias("score"))
+    return L.deduped(b)
+
+
+@query("q21c_line_groups")
+def line_groups(get):
+    b = boxes(get("lineitem")).select("doc_id", block_key().alias("id"), "bbox")
+    return L.line_groups(b)
+
+
+@query(
+    "q22_order_correlation",
+    f"""
+WITH t AS ({BOX_SQL}), k AS (SELECT doc_id, {KEY_SQL} AS id, row_number() OVER (PARTITION BY doc_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, y0 FROM t)
+SELECT a.doc_id, CAST(sum(sign(b.y0 - a.y0)) AS DOUBLE) / nullif(count(*) FILTER (WHERE a.y0 <> b.y0), 0) AS tau
+FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.n < b.n GROUP BY a.doc_id HAVING count(*) FILTER (WHERE a.y0 <> b.y0) > 0
+""",
+)
+def order_correlation(get):
+    b = boxes(get("lineitem")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", *TIE, F.col("bbox.y0").cast("int").alias("y")))).alias("r"))
+    return b.select("doc_id", S.kendall_tau(F.transform("r", lambda x: x.y)).alias("tau")).where("tau is not null")
+
+
+@query(
+    "q23_direction_hint",
+    f"""
+WITH t AS ({BOX_SQL}), s AS (
+  SELECT doc_id, count(*) AS n, sum(x0) AS s0, sum(x0 * x0) AS q0, sum(x1) AS s1, sum(x1 * x1) AS q1 FROM t WHERE x1 - x0 > 0.35 * 400 GROUP BY doc_id HAVING count(*) >= 3
+), v AS (SELECT doc_id, n * q0 - s0 * s0 AS l, n * q1 - s1 * s1 AS r FROM s)
+SELECT doc_id, CASE WHEN r < 0.36 * l THEN 'rtl' WHEN l < 0.36 * r THEN 'ltr' END AS hint FROM v
+""",
+)
+def direction_hint(get):
+    return O.direction_hint(boxes(get("lineitem")).withColumn("page_w", F.lit(400.0)))
+
+
+@query(
+    "q24_body_size",
+    """
+WITH s AS (SELECT l_orderkey AS doc_id, list_sort(list(CAST(l_quantity AS INTEGER))) AS q FROM lineitem GROUP BY l_orderkey), m AS (SELECT doc_id, q[len(q) // 2 + 1] AS med FROM s)
+SELECT doc_id, CAST(any_value(med) AS BIGINT) AS med, CAST(sum(CASE WHEN abs(CAST(l_quantity AS INTEGER) - med) * 4 > med THEN med ELSE CAST(l_quantity AS INTEGER) END) AS BIGINT) AS clamped
+FROM lineitem JOIN m ON l_orderkey = doc_id GROUP BY doc_id
+""",
+)
+def body_size(get):
+    """Upper median of each page and the sizes brought to it; one exchange, as the window and the aggregate share a key."""
+    w = Window.partitionBy("l_orderkey")
+    q = F.col("l_quantity").cast("int")
+    d = get("lineitem").select("l_orderkey", q.alias("q")).withColumn("all", F.array_sort(F.collect_list("q").over(w)))
+    d = d.withColumn("med", F.get("all", F.floor(F.size("all") / 2).cast("int")))
+    return d.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("med").cast("long").alias("med"), F.sum(F.when(F.abs(F.col("q") - F.col("med")) * 4 > F.col("med"), F.col("med")).otherwise(F.col("q"))).alias("clamped"))
+
+
+LABEL_SQL = "CASE lower(split_part(p_type, ' ', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.LABEL_MAP.items()) + " ELSE 'paragraph' END"
+
+
+@query("q25_labels", f"SELECT p_partkey, {LABEL_SQL} AS type, CASE p_size % 4 WHEN 0 THEN 'stamp' WHEN 1 THEN 'table' WHEN 2 THEN 'footer' ELSE 'paragraph' END AS mapped FROM part")
+def labels(get):
+    label = F.get(F.array(*map(F.lit, ("seal", "table", "number", "no such label"))), F.col("p_size") % 4)
+    return get("part").select("p_partkey", L.typed(F.lower(F.split("p_type", " ")[0])).alias("type"), L.typed(label).alias("mapped"))
+
+
+@query(
+    "q26_logprob_confidence",
+    """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: -abs(CAST(x AS DOUBLE)) * 4) AS lp FROM embeddings)
+SELECT vec_id, round(greatest(0.0, least(1.0, exp(list_sum(lp) / len(lp)) - 0.5 * len(list_filter(lp, lambda x: x < ln(0.5))) / len(lp))), 9) AS confidence FROM e
+""",
+)
+def logprob_confidence(get):
+    lp = F.transform("embedding", lambda x: -F.abs(x.cast("double")) * 4)
+    return get("embeddings").select("vec_id", F.round(S.logprob_confidence(lp), 9).alias("confidence"))
+
+
+@query(
+    "q27_token_budget",
+    f"""
+WITH t AS ({BOX_SQL})
+SELECT doc_id, {KEY_SQL} AS id, CAST(floor(least(greatest(greatest(1.0, (y1 - y0) / 40.0) * greatest(4.0, (x1 - x0) / 16.0) * 0.5 * 2.0 * CASE WHEN l_partkey % 7 = 2 THEN 3 ELSE 1 END + 16, 32.0), 2048.0)) AS INTEGER) AS tokens FROM t
+""",
+)
+def token_budget(get):
+    """Budgets with factors that are exact in binary."""
+    from vellum.config import Vlm
+
+    o = F.col("bbox")
+    lines, chars = G.height(o) / 40.0, G.width(o) / 16.0
+    n = F.greatest(F.lit(1.0), lines) * F.greatest(F.lit(4.0), chars) * 0.5 * 2.0 * F.when(F.col("type") == "table", 3).otherwise(1) + 16
+    cfg = Vlm()
+    return boxes(get("lineitem")).select("doc_id", block_key().alias("id"), F.floor(F.least(F.greatest(n, F.lit(float(cfg.min_tokens))), F.lit(float(cfg.max_tokens)))).cast("int").alias("tokens"))
+
+
+@query("q27b_token_budget_operator")
+def token_budget_operator(get):
+    o = F.col("bbox")
+    return boxes(get("lineitem")).select("doc_id", block_key().alias("id"), S.token_budget(G.width(o), G.height(o), F.col("type"), F.lit(18.0)).alias("tokens"))
+
+
+def nation_cells(get) -> DataFrame:
+    n = get("nation").join(get("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    w = Window.partitionBy("r_regionkey").orderBy("n_nationkey")
+    n = n.withColumn("row", (F.row_number().over(w) - 1).cast("int")).withColumn("size", F.count("*").over(Window.partitionBy("r_regionkey")).cast("int"))
+    cell = lambda c, text, span, header: F.struct(F.col("row"), F.lit(c).alias("col"), span.cast("int").alias("rowspan"), F.lit(1).alias("colspan"), text.alias("text"), F.lit(header).alias("header"))
+    both = F.when(F.col("row") == 0, F.array(cell(0, F.col("r_name"), F.col("size"), True), cell(1, F.col("n_name"), F.lit(1), False))).otherwise(F.array(cell(1, F.col("n_name"), F.lit(1), False)))
+    return n.groupBy("r_regionkey").agg(F.flatten(F.collect_list(both)).alias("cells"))
+
+
+@query(
+    "q28_table_round_trip",
+    """
+WITH n AS (SELECT r_regionkey, r_name, n_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1 AS row, count(*) OVER (PARTITION BY r_regionkey) AS size FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT r_regionkey, CAST(row AS INTEGER) AS row, 1 AS col, 1 AS rowspan, n_name AS text, false AS header FROM n
+UNION ALL SELECT r_regionkey, 0, 0, CAST(size AS INTEGER), r_name, true FROM n WHERE row = 0
+""",
+)
+def table_round_trip(get):
+    """Cells to HTML and back."""
+    g = nation_cells(get).select("r_regionkey", TB.html_of(F.col("cells")).alias("html"))
+    return TB.cells_of(g, "r_regionkey", "html").select("r_regionkey", "row", "col", "rowspan", "text", "header")
+
+
+@query("q29_table_similarity")
+def table_similarity(get):
+    h = nation_cells(get).select("r_regionkey", TB.html_of(F.col("cells")).alias("ref"))
+    h = h.withColumn("hyp", F.regexp_replace("ref", "A", "E"))
+    return h.select("r_regionkey", TB.teds_column(F.col("ref"), F.col("hyp")).alias("teds"), TB.teds_column(F.col("ref"), F.col("hyp"), True).alias("teds_s"), TB.plain_column(F.col("hyp")).alias("plain"))
+
+
+@query(
+    "q30_metadata",
+    """
+SELECT o_custkey AS doc_id, list(o_custkey || '/' || o_orderkey ORDER BY o_orderkey) AS numbers, list(strftime(o_orderdate, '%Y-%m-%d') ORDER BY o_orderkey) AS dates FROM orders GROUP BY o_custkey
+""",
+)
+def metadata(get):
+    o = order_text(get).select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("order"), F.col("o_orderkey").cast("string").alias("id"), F.lit("paragraph").alias("type"), F.lit("en").alias("lang"), F.concat("ref_line", F.lit(" "), "date_line").alias("text"))
+    m = P.metadata(o)
+    return m.select("doc_id", F.transform("doc_numbers", lambda n: n.value_latin).alias("numbers"), F.transform("dates", lambda d: d.normalized).alias("dates"))
+
+
+@query(
+    "q31_date_overlap",
+    """
+WITH d AS (SELECT o_custkey, list_distinct(list(strftime(o_orderdate, '%Y-%m'))) AS a, list_distinct(list(strftime(o_orderdate + INTERVAL 31 DAY, '%Y-%m'))) AS b FROM orders GROUP BY o_custkey)
+SELECT o_custkey, len(list_intersect(a, b)) AS found, len(a) AS total FROM d
+""",
+)
+def date_overlap(get):
+    d = get("orders").groupBy("o_custkey").agg(F.collect_set(F.date_format("o_orderdate", "yyyy-MM")).alias("a"), F.collect_set(F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 31 DAYS"), "yyyy-MM")).alias("b"))
+    return d.select("o_custkey", F.size(F.array_intersect("a", "b")).cast("long").alias("found"), F.size("a").cast("long").alias("total"))
+
+
+@query(
+    "q32_image_recall",
+    f"""
+WITH hits AS ({_iou_sql("EXISTS")}), t AS ({BOX_SQL}), k AS (SELECT doc_id, {KEY_SQL} AS id, l_partkey % 7 AS kind FROM t)
+SELECT CASE k.kind {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPES))} END AS type, count(hits.id) AS hit, count(*) AS n, count(hits.id) / count(*) AS recall
+FROM k LEFT JOIN hits ON k.doc_id = hits.doc_id AND k.id = hits.id GROUP BY k.kind
+""",
+)
+def image_recall(get):
+    a = boxes(get("lineitem")).withColumn("id", block_key())
+    hit = _iou(get, "left_semi").withColumn("hit", F.lit(1))
+    return a.join(hit, ["doc_id", "id"], "left").groupBy("type").agg(F.count("hit").alias("hit"), F.count("*").alias("n"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
+@query(
+    "q33_worst",
+    f"""
+WITH f AS (SELECT doc_id, {REF} AS ref FROM documents), g AS (SELECT doc_id, ref, translate(replace(ref, 'o', ''), 'aei', 'eao') AS hyp FROM f)
+SELECT doc_id, CASE WHEN ref = '' THEN CASE WHEN hyp = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(ref, hyp) / length(ref) END AS cer FROM g ORDER BY cer DESC, doc_id LIMIT 15
+""",
+)
+def worst(get):
+    """The fifteen worst, as the report shows."""
+    return facts(get).select("doc_id", S.cer(F.col("ref"), F.col("hyp")).alias("cer")).orderBy(F.desc("cer"), "doc_id").limit(15)
+
+
+@query(
+    "q34_owner",
+    """
+WITH c AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT l_partkey, l_suppkey AS owner, n FROM c QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) = 1
+""",
+)
+def owner(get):
+    c = get("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+    m = c.groupBy("l_partkey").agg(F.max(F.struct("n", (-F.col("l_suppkey")).alias("s"))).alias("m"))
+    return m.select("l_partkey", (-F.col("m.s")).alias("owner"), F.col("m.n").alias("n"))
+
+
+@query("q35_batch_report", "SELECT count(*) AS pages, count(*) FILTER (WHERE event_type <> 'error') AS ok, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE value > 50) AS needs_review FROM events")
+def batch_report(get):
+    return P.batch_report(get("events").select((F.col("event_type") != "error").alias("ok"), (F.col("value") > 50).alias("needs_review")))
+
+
+@query("q36_word_error_rate")
+def word_error_rate(get):
+    """Token edit distance in the JVM, first twelve words against the same words shifted by one."""
+    words = F.slice(F.split("text", " "), 1, 12)
+    hyp = F.concat_ws(" ", F.slice(words, 2, 12))
+    return get("conversations").select("conv_id", "turn", S.wer(F.concat_ws(" ", words), hyp).alias("wer"))
+
+
+@query("q37_clean_output")
+def clean_output(get):
+    raw = F.concat(F.lit("```\n"), "text", F.lit("\n"), F.repeat(F.concat(F.substring(ascii_part(F.col("text")), 1, 12), F.lit(" ")), 6), F.lit("\n```"))
+    return get("benchmark").select("item_id", T.cleaned_output(raw, F.lit("text")).alias("c")).select("item_id", "c.text", F.array_join("c.flags", ",").alias("flags"))
+
+
+@query("q38_bidi_runs", f"SELECT doc_id, md5({ARABIC_SQL}) AS text_md5, true AS lossless FROM documents")
+def bidi_runs(get):
+    """Runs of every text, checked to lose nothing."""
+    t = arabic(F.col("text"), F.col("doc_id"))
+    d = get("documents").select("doc_id", t.alias("t"), T.bidi_run_array(t, F.lit("rtl")).alias("r"))
+    whole = F.array_join(F.transform("r", lambda x: x.text), "")
+    return d.select("doc_id", F.md5(whole).alias("text_md5"), (whole == F.col("t")).alias("lossless"))
+
+
+@query(
+    "q39_set_operators",
+    """
+SELECT 'union' AS op, count(*) AS n FROM (SELECT page_id AS k FROM pages UNION ALL SELECT doc_id FROM documents)
+UNION ALL SELECT 'intersect', count(*) FROM (SELECT page_id AS k FROM pages INTERSECT SELECT doc_id FROM documents)
+UNION ALL SELECT 'except', count(*) FROM (SELECT doc_id AS k FROM documents EXCEPT SELECT page_id FROM pages)
+""",
+)
+def set_operators(get):
+    a, b = get("pages").select(F.col("page_id").alias("k")), get("documents").select(F.col("doc_id").alias("k"))
+    count = lambda df, op: df.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
+    return count(a.unionByName(b), "union").unionByName(count(a.intersect(b), "intersect")).unionByName(count(b.subtract(a), "except"))
+
+
+@query("q40_source_digest", "SELECT page_id, sha256(html) AS sha256, regexp_matches(lower(url), '[.](jpg|jpeg|png|heic|heif|tif|tiff|bmp|webp)$') AS is_image FROM pages")
+def source_digest(get):
+    return get("pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.lower("url").rlike(f"[.]({'|'.join(M.IMAGE_SUFFIXES)})$").alias("is_image"))
+
+
+@query(
+    "q41_arbitration",
+    """
+WITH r AS (
+  SELECT l_linenumber, CASE WHEN l_linenumber = 1 THEN '' WHEN l_linenumber = 2 THEN 'total ' || l_partkey ELSE 'plain words' END AS p,
+         CASE WHEN l_linenumber = 2 THEN 'total ' || (l_partkey + 1) ELSE 'plain words' END AS s, 1 - CAST(round(l_discount * 100) AS INTEGER) * 5 / 100.0::DOUBLE AS c FROM lineitem
+)
+SELECT l_linenumber, CASE WHEN l_linenumber = 1 AND c >= 0.6 THEN 'secondary' WHEN l_linenumber = 2 AND c >= 0.75 THEN 'secondary' ELSE 'primary' END AS source_engine, count(*) AS n FROM r GROUP BY ALL
+""",
+)
+def arbitration(get):
+    n = F.col("l_linenumber")
+    d = get("lineitem").select(
+        n, F.lit("paragraph").alias("type"), F.lit("vlm").alias("p_name"), F.lit("primary").alias("p_engine"), F.lit(0.9).alias("p_conf"),
+        F.when(n == 1, "").when(n == 2, F.concat(F.lit("total "), "l_partkey")).otherwise("plain words").alias("p_text"),
+        F.lit("tesseract").alias("s_name"), F.lit("secondary").alias("s_engine"), (1 - F.round(F.col("l_discount") * 100).cast("int") * 5 / 100.0).alias("s_conf"),
+        F.when(n == 2, F.concat(F.lit("total "), F.col("l_partkey") + 1)).otherwise("plain words").alias("s_text"), F.array().cast("array<string>").alias("flags"),
+    )
+    return P.arbitrated(d, compose=False).groupBy("l_linenumber", "source_engine").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q42_positional_types",
+    f"""
+WITH t AS ({BOX_SQL}), k AS (
+  SELECT *, CASE l_partkey % 7 {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(TYPES))} END AS type FROM t
+), b AS (
+  SELECT *, max(CASE WHEN type IN ('header', 'logo') AND y1 < 0.22 * 700 THEN y1 END) OVER (PARTITION BY doc_id) AS band FROM k
+), a AS (
+  SELECT *, CASE WHEN type IN ('paragraph', 'title') AND band IS NOT NULL AND (y0 + y1) / 2 < band AND y1 < 0.22 * 700 THEN 'header'
+                 WHEN type IN ('paragraph', 'title') AND y0 > 0.6 * 700 * 1.55 THEN 'footer' ELSE type END AS type1 FROM b
+), z AS (
+  SELECT *, CASE WHEN type1 = 'paragraph' AND abs((x0 + x1) / 2 - 500) < 40 AND x1 - x0 < 600 THEN 'title' ELSE type1 END AS type2 FROM a
+)
+SELECT type, type2 AS refined, count(*) AS n FROM z GROUP BY ALL
+""",
+)
+def positional_types(get):
+    b = boxes(get("lineitem")).withColumn("was", F.col("type")).withColumn("text", F.lit("one line")).withColumn("page_w", F.lit(1000.0)).withColumn("page_h", F.lit(700.0))
+    return P.positional_types(b).groupBy(F.col("was").alias("type"), F.col("type").alias("refined")).agg(F.count("*").alias("n"))
+
+
+@query("q43_rates_by_grouping")
+def rates_by_grouping(get):
+    """The evaluation's own aggregate: six groupings in one pass."""
+    f = facts(get)
+    return E.rates(f.select(
+        F.col("source").alias("type"), "lang", (F.col("doc_id") % 3).cast("string").alias("level"), F.col("lang").alias("page_lang"), "ref",
+        S.cer(F.col("ref"), F.col("hyp")).alias("cer"), S.cer(F.col("ref"), F.col("hyp")).alias("cer_nodiac"), F.lit(0.5).alias("wer"), F.col("source").alias("pred_type"), F.col("source").alias("type_"),
+    ))
