@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -18,7 +17,7 @@ DATES = "array<struct<calendar:string,raw:string,normalized:string,block_id:stri
 
 @F.arrow_udf(StringType())
 def _nfc(s: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(s, form="NFC")
+    return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFC", x) for x in s.to_pylist()], pa.string())
 
 
 def nfc(s: Column) -> Column:
