@@ -106,7 +106,7 @@ def load(spark: SparkSession, path: str, max_side: int = 5000) -> DataFrame:
                     small, k = I.fitted(img, max_side)
                     row.update(width_px=w, height_px=h, scale=k, data=png(small), warnings=[f"image downscaled to {max_side}px"] if k < 1 else [])
                 out.append(row)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in LOADED.split(", ")])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in LOADED.split(", ")], dtype=object)
 
     return raw.mapInPandas(run, LOADED)
 
