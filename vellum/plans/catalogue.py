@@ -451,13 +451,13 @@ def order_correlation(get):
     "q23_direction_hint",
     f"""
 WITH t AS ({BOX_SQL}), s AS (
-  SELECT doc_id, count(*) AS n, sum(x0) AS s0, sum(x0 * x0) AS q0, sum(x1) AS s1, sum(x1 * x1) AS q1 FROM t WHERE x1 - x0 > 0.35 * 400 GROUP BY doc_id HAVING count(*) >= 3
+  SELECT doc_id, count(*) AS n, sum(x0) AS s0, sum(x0 * x0) AS q0, sum(x1) AS s1, sum(x1 * x1) AS q1 FROM t WHERE x1 - x0 > 0.35 * 290 GROUP BY doc_id HAVING count(*) >= 3
 ), v AS (SELECT doc_id, n * q0 - s0 * s0 AS l, n * q1 - s1 * s1 AS r FROM s)
 SELECT doc_id, CASE WHEN r < 0.36 * l THEN 'rtl' WHEN l < 0.36 * r THEN 'ltr' END AS hint FROM v
 """,
 )
 def direction_hint(get):
-    return O.direction_hint(boxes(get("lineitem")).withColumn("page_w", F.lit(400.0)))
+    return O.direction_hint(boxes(get("lineitem")).withColumn("page_w", F.lit(290.0)))
 
 
 @query(
