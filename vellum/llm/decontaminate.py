@@ -23,24 +23,70 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._rt import Memo, ready
+from vellum.llm._rt import ready
 
 OTHER = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-HASH = Memo(lambda w: xxhash.xxh64_intdigest(w), 300_000)
 BLOCK = 8192
 CLASSES = (24, 12, 6, 5, 4, 3, 2, 1)
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().translate(OTHER).split()
+PIECE = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
 
+def normal(text: str | None) -> bytes:
+    """ASCII letters and digits, lower-cased, and other characters as they are; anything else is a space."""
+    return (text or "").encode().lower().translate(OTHER)
 
-def hashes(ws: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASH.__getitem__, ws), np.uint64, len(ws))
+
+def words(text: str | None) -> list[bytes]:
+    return normal(text).split()
+
+
+class _Powers:
+    """Powers of the hash base and of its inverse, modulo 2**64; as many as the longest piece has needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(BASE, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(INVERSE, k, 1 << 64))])
+        return self.up, self.down
+
+
+POWERS = _Powers()
+
+
+def hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of a normal text, and where it begins: sums of bytes times powers of a base, wherever the word stands."""
+    found, starts, at = [], [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > PIECE:  # cut at a space, so that the tables of powers stay small
+            cut = data.rfind(b" ", at + 1, at + PIECE)
+            cut = cut if cut > 0 else data.find(b" ", at + PIECE)
+            end = cut if cut > 0 else end
+        x = np.frombuffer(data, np.uint8, end - at, at)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (x != 32).view(np.int8), [0]])))
+        s, e = edge[::2], edge[1::2]
+        up, down = POWERS(len(x) + 1)
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x.astype(np.uint64) * up[: len(x)], out=total[1:])
+        h = (total[e] - total[s]) * down[s]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+        found.append(h)
+        starts.append(s + at)
+        at = end
+    return (np.concatenate(found), np.concatenate(starts)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 class Walk:
@@ -86,7 +132,7 @@ class Index:
             for r in range(repetitions):
                 walk, sig, item, at = Walk(steps, samples, r), [], [], []
                 for x in mine:
-                    s = walk.signatures(hashes(self.items[x][1].encode().split()))[: self.items[x][2] - steps + 1]
+                    s = walk.signatures(hashes(self.items[x][1].encode())[0])[: self.items[x][2] - steps + 1]
                     sig.append(s)
                     item += [x] * len(s)
                     at += range(len(s))
@@ -143,7 +189,7 @@ def within(item: str, window: str, most: int) -> int | None:
     return d if d <= most else None
 
 
-def find(documents: DataFrame, items: DataFrame, share: float = 0.2, repetitions: int = 6, samples: int = 6, block_words: int = 500_000) -> DataFrame:
+def find(documents: DataFrame, items: DataFrame, share: float = 0.2, repetitions: int = 4, samples: int = 6, block_words: int = 500_000) -> DataFrame:
     """documents with matches: array of (item_id, first_word, n_words, edits) over whole texts.
 
     A place matches when its characters are within `share` of the item's length in edits. The first
@@ -160,7 +206,7 @@ def find(documents: DataFrame, items: DataFrame, share: float = 0.2, repetitions
 
 
 MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("edits", pa.int64())]))
-BATCH_WORDS = 100_000
+BATCH_BYTES = 500_000
 
 
 def _annotate(documents: DataFrame, sent, share: float, repetitions: int, samples: int, more: bool) -> DataFrame:
@@ -170,24 +216,27 @@ def _annotate(documents: DataFrame, sent, share: float, repetitions: int, sample
 
     def run(batches):
         index = Index(sent.value, share, repetitions, samples)
-        gap = np.zeros(max(CLASSES), np.uint64)
+        gap = max(CLASSES)
         for b in batches:
             texts, found = b.column(place).to_pylist(), []
             lo = 0
             while lo < len(texts):
-                split, size = [], 0
-                while lo < len(texts) and size < BATCH_WORDS:
-                    split.append(words(texts[lo]))
-                    size += len(split[-1]) + len(gap)
+                parts, size = [], 0
+                while lo < len(texts) and size < BATCH_BYTES:
+                    parts.append(normal(texts[lo]))
+                    size += len(parts[-1]) + 1
                     lo += 1
-                begin = np.cumsum([0, *(len(w) + len(gap) for w in split)])
-                h = np.concatenate([x for w in split for x in (hashes(w), gap)])
-                each: list[set] = [set() for _ in split]
-                for x, start in index.candidates(h):
+                h, at = hashes(b" ".join(parts))
+                owner = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), at, "right")  # the text of each word
+                spread = np.zeros(len(h) + gap * len(parts), np.uint64)  # texts are kept apart by words of hash 0
+                spread[np.arange(len(h)) + gap * owner] = h
+                begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(parts)) + gap)])
+                each: list[set] = [set() for _ in parts]
+                for x, start in index.candidates(spread):
                     d = int(np.searchsorted(begin, max(start, 0), "right")) - 1
                     if d < len(each):
                         each[d].add((x, start - int(begin[d])))
-                found += [index.verify(w, c) for w, c in zip(split, each)]
+                found += [index.verify(p.split(), c) if c else [] for p, c in zip(parts, each)]
             if more:
                 found = [a + c for a, c in zip(b.column(old).to_pylist(), found)]
             columns = [c for i, c in enumerate(b.columns) if i != old]

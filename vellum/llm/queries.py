@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import licenses, linededup, packing, ppm, simhash, topk, toxicity, warc
+from vellum.llm import decontaminate, licenses, linededup, packing, ppm, quality, simhash, topk, toxicity, warc
 from vellum.llm._rt import table
 
 SIZE = 2048
@@ -18,6 +18,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark item found in a document."""
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), share=0.2)
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.first_word", "m.n_words", "m.edits")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.learnable(F.col("doc_id")))
@@ -50,6 +56,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), SIZE)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and probability of the better grade of every document, and whether it is selected."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
+    tail = F.get("tails", F.lit(0))
+    return quality.score(docs, model).select("doc_id", "expected_grade", tail.alias("tail_probability"), (tail >= 0.5).alias("selected"))
+
+
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.crc32(F.col("doc_id").cast("string")) % 5
     out = ppm.score(table(spark, sf_dir, "documents"), F.coalesce(rest != 1, F.lit(False)))
@@ -57,6 +71,7 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_line_dedup": op4_line_dedup,
@@ -64,6 +79,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
     "op10_ppm": op10_ppm,
 }
 

@@ -197,6 +197,7 @@ def _label(prints: DataFrame, groups: DataFrame, edges: DataFrame, key: str) ->
     per_root = roots.join(groups.select(F.col(key).alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("smallest"))
     named = roots.join(per_root, "root").select(F.col("node").alias(key), "smallest")
     label = groups.join(named, key, "left").select(key, F.coalesce("smallest", "least").alias("component_id"))
+    label = store(label, "labels")  # both sides of the next join are then dealt anew, and Spark may split a fingerprint that very many rows share
     return prints.join(label, key, "left")
 
 
