@@ -151,11 +151,12 @@ def test_conversion_batch_and_service(spark, tmp_path):
     (tmp_path / "one.png").write_bytes(IM.png(page_image()))
     (tmp_path / "bad.png").write_bytes(b"x")
     cfg = config.load(overrides={"recognition": {"primary": "stub", "secondary": "none"}, "geometry": {"target_long_side_px": 800, "detect_boundary": False}})
-    d, pages = pipeline.convert(spark, str(tmp_path), cfg)
-    d = d.cache()
+    found = pipeline.convert(spark, str(tmp_path), cfg)
+    d, pages = found.documents.cache(), found.pages
     r = d.first()
     assert r.stem == "one" and r.blocks and [b.id for b in r.blocks] == [f"b{n:03d}" for n in range(1, len(r.blocks) + 1)] and r.config_digest == cfg.digest()
     assert pipeline.report(d, pages).first().asDict() == {"pages": 2, "ok": 1, "failed": 1, "needs_review": 1}
+    assert pipeline.as_docx(d, found.regions).first().content[:2] == b"PK"
     s = service.server(spark, "127.0.0.1", 0, cfg)
     threading.Thread(target=s.serve_forever, daemon=True).start()
     at = f"http://127.0.0.1:{s.server_port}"

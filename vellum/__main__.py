@@ -10,7 +10,6 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from vellum import config, pipeline
 from vellum.operators import evaluate as E
@@ -25,14 +24,18 @@ def session() -> SparkSession:
 def batch(args) -> int:
     spark, cfg, start = session(), config.load(args.config, args.profile), time.monotonic()
     results = D.engine_results(spark, args.results) if args.results else None
-    docs, pages = pipeline.convert(spark, args.input, cfg, results)
-    docs = docs.cache()  # read by the report and by both sinks
-    row = pipeline.report(docs, pages).first().asDict()
+    found = pipeline.convert(spark, args.input, cfg, results)
+    docs = found.documents.cache()  # read by the report and by the sinks
+    row = pipeline.report(docs, found.pages).first().asDict()
     if not row["pages"]:
         print("no images found", file=sys.stderr)
         return 2
     spark.dataSource.register(docx.DocxSource)
-    docs.select(F.col("stem").alias("name"), docx.docx_column(D.as_json(docs)).alias("content")).write.format("docx").mode("append").save(os.path.join(args.output, "docx"))
+    spark.dataSource.register(docx.FileSource)
+    pipeline.as_docx(docs, found.regions).write.format("docx").mode("append").save(os.path.join(args.output, "docx"))
+    pipeline.assets(found.regions).select("name", "content").write.format("files").mode("append").save(os.path.join(args.output, "assets"))
+    if args.debug:
+        pipeline.write_stages(found, args.debug)
     D.write(docs, os.path.join(args.output, "json"), "overwrite")
     wall = time.monotonic() - start
     print(json.dumps({**row, "wall_s": round(wall, 2), "pages_per_s": round(row["pages"] / wall, 3)}))
@@ -79,6 +82,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             p.add_argument("input")
             p.add_argument("output")
+            p.add_argument("--debug", help="a folder for the intermediate tables")
             p.add_argument("--results", help="recorded engine results (JSON lines)")
     args = ap.parse_args(argv)
     logging.basicConfig(level=[logging.WARNING, logging.INFO, logging.DEBUG][min(2, args.verbose)])

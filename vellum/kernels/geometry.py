@@ -210,8 +210,12 @@ def vote(votes: dict[str, tuple[int, float] | None], by_ocr: dict[int, float] |
     return guess, "heuristic"
 
 
+#: Models that flatten curled sheets, by the name in the settings; each maps a page to a page.
+DEWARPERS: dict = {}
+
+
 def correct(bgr: np.ndarray, cfg, turn: int | None = None) -> dict:
-    """Outline, perspective, orientation and skew in one pass."""
+    """Outline, perspective, dewarping where a model is registered, orientation and skew in one pass."""
     quad, cover = find_page(bgr, cfg.min_doc_area_ratio) if cfg.detect_boundary else (None, 1.0)
     if quad is not None:
         out = warp(bgr, quad, cfg.target_long_side_px)
@@ -220,6 +224,9 @@ def correct(bgr: np.ndarray, cfg, turn: int | None = None) -> dict:
         k = cfg.target_long_side_px / max(h, w)
         paper, wmm, hmm = snap_paper(w, h)
         out = {"page": I.resize(bgr, max(1, round(h * k)), max(1, round(w * k))), "paper": paper, "width_mm": wmm, "height_mm": hmm, "dpi": w / wmm * 25.4}
+    if cfg.dewarp in DEWARPERS:
+        h, w = out["page"].shape[:2]
+        out["page"] = I.resize(DEWARPERS[cfg.dewarp](out["page"]), h, w)
     turn = orientation(I.gray(out["page"])) if turn is None else turn
     if turn:
         out["page"] = rotate90(out["page"], turn)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,18 @@ from vellum.operators import post as P
 from vellum.operators import tables as TB
 from vellum.session import prepared
 from vellum.sources import documents as D
+from vellum.sources import docx
 from vellum.sources import images as IM
 
+@dataclass
+class Conversion:
+    """Documents, and the tables they were made from."""
+
+    documents: DataFrame
+    pages: DataFrame
+    regions: DataFrame
+
+
 PAGES = "doc_id string, path string, sha256 string, width_px int, height_px int, page binary, page_w int, page_h int, width_mm double, height_mm double, paper string, rotation int, qa struct<width_px:int,height_px:int,blur_laplacian_var:double,glare_ratio:double,document_coverage:double,estimated_dpi:double,boundary_found:boolean,warnings:array<string>>, timings map<string,double>, error string"
 REGIONS = f"doc_id string, id string, type string, bbox {M.BOX}, score double, source string, image binary, line_height_px double, page_w int, page_h int"
 
@@ -109,6 +120,29 @@ def regions(pages_: DataFrame, detections: DataFrame | None = None) -> DataFrame
     return given.where("error is null").select("doc_id", "page", "given").mapInPandas(run, REGIONS)
 
 
+def asset_path():
+    """Where the picture of an image region goes, beside the document; it keeps the region's first id."""
+    return F.when(F.col("type").isin(*M.IMAGE_TYPES), F.concat("doc_id", F.lit("_assets/"), "id", F.lit("_"), "type", F.lit(".png")))
+
+
+def assets(regions_: DataFrame) -> DataFrame:
+    """(doc_id, name, content): the pictures of stamps, signatures, logos and figures; ink on a clear ground, or whitened paper."""
+    return regions_.where(F.col("type").isin(*M.IMAGE_TYPES)).select("doc_id", asset_path().alias("name"), F.col("image").alias("content"))
+
+
+def as_docx(documents: DataFrame, regions_: DataFrame) -> DataFrame:
+    """(name, content): a .docx for each document, with its pictures."""
+    held = assets(regions_).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "content"))).alias("images"))
+    rows = documents.join(held, documents["stem"] == held["doc_id"], "left")
+    return rows.select(F.col("stem").alias("name"), docx.docx_column(D.as_json(documents), F.col("images")).alias("content"))
+
+
+def write_stages(found: Conversion, path: str) -> None:
+    """The intermediate tables of a conversion, for looking into: pages, regions with crops, documents; a new run replaces them."""
+    for name, df in (("pages", found.pages), ("regions", found.regions), ("documents", found.documents)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def from_results(regions_: DataFrame, results: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Blocks from regions and engines' results (role primary or secondary), arbitrated and scored."""
     r = results.withColumnRenamed("block_id", "id")
@@ -118,6 +152,7 @@ def from_results(regions_: DataFrame, results: DataFrame, cfg: Config = Config()
     rows = rows.withColumn("p_conf", F.coalesce("p_conf", F.when(F.col("p_engine").isNull(), 0.0))).withColumn("p_engine", F.coalesce("p_engine", F.lit("none")))
     out = P.arbitrated(rows, cfg.confidence, cfg.recognition.numeric_prefer_classic).withColumn("html", F.col("p_html")).withColumn("lines", F.transform("p_lines", lambda x: x["bbox"]))
     alt = lambda p: F.when(F.col(f"{p}_engine").isNotNull(), F.struct(F.col(f"{p}_engine").alias("engine"), F.col(f"{p}_text").alias("text"), F.col(f"{p}_html").alias("html"), F.col(f"{p}_conf").alias("confidence"), F.lit(None).cast("double").alias("mean_logprob"), F.col(f"{p}_seconds").alias("seconds")))
+    out = out.withColumn("image_path", asset_path())
     out = out.withColumn("alternatives", F.array_compact(F.array(alt("p"), alt("s"))))
     text = P.scored(out.where(~F.col("type").isin(*M.IMAGE_TYPES)), cfg.confidence)
     images = out.where(F.col("type").isin(*M.IMAGE_TYPES)).select(
@@ -139,8 +174,7 @@ def finished(blocks: DataFrame, pages_: DataFrame, cfg: Config = Config()) -> Da
     meta, review = P.metadata(b), P.page_review(b, warnings=pages_.select("doc_id", F.col("qa.warnings").alias("warnings")), cfg=cfg.confidence)
     direction = b.groupBy("doc_id").agg(F.first("page_direction").alias("page_direction"))
     nest = D.nested(b.select(
-        "doc_id", "id", "type", "bbox", "order", "text", "html", F.when(F.col("type").isin(*M.IMAGE_TYPES), F.concat("doc_id", F.lit("_assets/"), "id", F.lit(".png"))).alias("image_path"),
-        "lang", "direction", "style", "confidence", "source_engine", F.col("source").alias("layout_source"), F.col("score").alias("layout_score"), "alternatives", "needs_review", "review_reasons", "line_height_px",
+        "doc_id", "id", "type", "bbox", "order", "text", "html", "image_path", "lang", "direction", "style", "confidence", "source_engine", F.col("source").alias("layout_source"), F.col("score").alias("layout_score"), "alternatives", "needs_review", "review_reasons", "line_height_px",
     ))
     out = pages_.where("error is null").join(nest, "doc_id", "left").join(meta, "doc_id", "left").join(review, "doc_id", "left").join(direction, "doc_id", "left")
     none = F.array().cast("array<string>")
@@ -153,17 +187,33 @@ def finished(blocks: DataFrame, pages_: DataFrame, cfg: Config = Config()) -> Da
     )
 
 
-def convert(spark: SparkSession, path: str, cfg: Config = Config(), results: DataFrame | None = None, detections: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, pages) of all images under a path. results: recorded engine results instead of running the engines."""
+def convert(spark: SparkSession, path: str, cfg: Config = Config(), results: DataFrame | None = None, detections: DataFrame | None = None) -> Conversion:
+    """All images under a path. results: recorded engine results instead of running the engines."""
     ps = pages(spark, path, cfg)
     rs = regions(ps, detections)
     if results is None:
         crops = rs.withColumnRenamed("id", "block_id").withColumn("direction", F.lit("rtl")).where(~F.col("type").isin("signature", "logo", "figure"))
         run = lambda name, role: engines.recognized(crops, name, cfg.recognition).withColumn("role", F.lit(role))
-        results = run(cfg.recognition.primary, "primary")
+        results = by_type_results(spark, crops, cfg)
         if cfg.recognition.secondary not in ("none", cfg.recognition.primary):
             results = results.unionByName(run(cfg.recognition.secondary, "secondary"))
-    return finished(from_results(rs, results, cfg), ps, cfg), ps
+    return Conversion(finished(from_results(rs, results, cfg), ps, cfg), ps, rs)
+
+
+def by_type_results(spark: SparkSession, crops: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Primary results where types go to engines of their own: one pass for each engine over its crops."""
+    rows, out = engines.routed(crops, cfg.recognition), None
+    for name in sorted({cfg.recognition.primary, *cfg.recognition.primary_by_type.values()} - {"none"}):
+        part = engines.recognized(rows.where(F.col("p_name") == name).drop("p_name"), name, cfg.recognition).withColumn("role", F.lit("primary"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def read_tables_again(crops: DataFrame, directions: DataFrame, hint: str, cfg: Config = Config()) -> DataFrame:
+    """Results for table crops of pages whose direction turned out other than the hint; only their html and direction are to be replaced."""
+    other = directions.where(F.col("page_direction") != hint)
+    again = crops.where("type = 'table'").drop("direction").join(other.select("doc_id", F.col("page_direction").alias("direction")), "doc_id")
+    return engines.recognized(again.select(*crops.columns), cfg.recognition.primary, cfg.recognition)
 
 
 def report(documents: DataFrame, pages_: DataFrame) -> DataFrame:

@@ -59,8 +59,10 @@ def server(spark: SparkSession, host: str, port: int, cfg: Config = Config(), re
             with lock, tempfile.TemporaryDirectory() as d:
                 with open(os.path.join(d, f"result.{suffix if suffix in IMAGE_SUFFIXES else 'jpg'}"), "wb") as f:
                     f.write(data)
-                docs, _ = pipeline.convert(spark, d, cfg, results)
+                found = pipeline.convert(spark, d, cfg, results)
+                docs = found.documents
                 row = docs.select(D.as_json(docs).alias("j"), "review").first()
+                images = {r["name"]: bytes(r["content"]) for r in pipeline.assets(found.regions).collect()} if row and form == "zip" else {}  # of one page
             if row is None:
                 return self._error(422, "cannot decode image")
             head = {"X_Needs_Review": str(row["review"]["needs_review"]).lower(), "X_Page_Score": str(row["review"]["page_score"])}
@@ -69,7 +71,9 @@ def server(spark: SparkSession, host: str, port: int, cfg: Config = Config(), re
             buf = io.BytesIO()
             with zipfile.ZipFile(buf, "w") as z:
                 z.writestr("result.json", row["j"])
-                z.writestr("result.docx", docx.build(json.loads(row["j"])))
+                z.writestr("result.docx", docx.build(json.loads(row["j"]), images))
+                for name, content in images.items():
+                    z.writestr(name, content)
             self._send(200, buf.getvalue(), "application/zip", **head)
 
     return ThreadingHTTPServer((host, port), Handler)

@@ -252,37 +252,51 @@ def build(doc: dict, images: dict[str, bytes] | None = None, cfg: Docx = Docx())
 
 
 @F.arrow_udf(BinaryType())
-def _docx(docs: pa.Array) -> pa.Array:
-    return pa.array([None if d is None else build(json.loads(d)) for d in docs.to_pylist()], pa.binary())
+def _docx(docs: pa.Array, images: pa.Array) -> pa.Array:
+    return pa.array([None if d is None else build(json.loads(d), dict(i or ())) for d, i in zip(docs.to_pylist(), images.to_pylist())], pa.binary())
 
 
-def docx_column(document_json: Column) -> Column:
-    return _docx(document_json)
+def docx_column(document_json: Column, images: Column | None = None) -> Column:
+    """images: map of image_path to PNG bytes."""
+    return _docx(document_json, F.lit(None).cast("map<string,binary>") if images is None else images)
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, suffix: str):
+        self.path, self.suffix = path, suffix
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
         for r in rows:
-            at = os.path.join(self.path, os.path.basename(r["name"]) + ".docx")
+            parts = [x for x in r["name"].split("/") if x not in ("", ".", "..")]  # stays inside of the folder
+            at = os.path.join(self.path, *parts) + self.suffix
+            os.makedirs(os.path.dirname(at), exist_ok=True)
             with open(at + ".part", "wb") as f:
                 f.write(bytes(r["content"]))
             os.replace(at + ".part", at)  # a task that runs again writes the same file
         return WriterCommitMessage()
 
 
-class DocxSource(DataSource):
-    """format("docx"): rows of (name, content) as files in a folder that all executors share."""
+class FileSource(DataSource):
+    """format("files"): rows of (name, content) as files in a folder that all executors share; names may have folders."""
+
+    suffix = ""
 
     @classmethod
     def name(cls):
-        return "docx"
+        return "files"
 
     def schema(self):
         return "name string, content binary"
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], self.suffix)
+
+
+class DocxSource(FileSource):
+    """format("docx"): the same, with the suffix .docx."""
+
+    suffix = ".docx"
+
+    @classmethod
+    def name(cls):
+        return "docx"
