@@ -239,9 +239,10 @@ def near_copies(documents: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
 
 def keep_one(documents: DataFrame, **how) -> DataFrame:
-    """documents with one row of each group of near copies: that of the smallest doc_id (of rows that repeat it, one of the smallest text).
+    """documents with one document of each group of near copies: that of the smallest doc_id.
 
-    Rows without an id stay: nothing tells which of them would stand for a group.
+    Rows that repeat an id are one document: they stay or go together. Rows without an id stay, as
+    nothing tells which of them would stand for a group.
     """
     found = near_copies(documents, **how).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     first = documents.where(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi")
