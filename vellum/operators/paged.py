@@ -36,9 +36,9 @@ def by_page(rows: DataFrame, page: str, sort: list[str], kernel: Callable[..., l
     pages = rows.groupBy(page).agg(F.array_sort(F.collect_list(row), lambda a, b: _compare(a, b, sort)).alias("_rows"))
     found = pages.withColumn("_places", places(F.transform("_rows", lambda r: r["_fields"])))
     picked = F.transform("_places", lambda p: F.struct(F.get("_rows", p["at"])["_row"].alias("row"), p["value"].alias("value")))
-    out = found.select(picked.alias("_picked")).select(F.explode("_picked").alias("_p"))
+    out = found.select(page, picked.alias("_picked")).select(page, F.explode("_picked").alias("_p"))  # the page stays the grouping column, so later steps need no exchange
     extra = [F.col("_p.value").alias(name)] if name else []
-    return out.select(*(F.col(f"_p.row.{c}").alias(c) for c in rows.columns if c != name), *extra)
+    return out.select(*(F.col(page) if c == page else F.col(f"_p.row.{c}").alias(c) for c in rows.columns if c != name), *extra)
 
 
 def _compare(a: Column, b: Column, keys: list[str]) -> Column:

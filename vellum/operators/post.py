@@ -149,44 +149,73 @@ def page_directions(blocks: DataFrame, page: str = "doc_id", hint: str | None =
     return s.select(page, F.when(F.col("r") + F.col("l") == 0, hint or "rtl").when(F.col("r") >= F.col("l"), "rtl").otherwise("ltr").alias("page_direction"))
 
 
-def metadata(blocks: DataFrame, page: str = "doc_id") -> DataFrame:
-    """Per page: stamp texts, languages, dates and document numbers, in reading order. html_text is the text of a table's cells."""
+def with_page_direction(blocks: DataFrame, page: str = "doc_id", hint: str | None = None) -> DataFrame:
+    """blocks with page_direction, as `page_directions` has it, by a window over the page."""
+    w = F.when(F.col("type").isin("header", "footer"), 0.3).otherwise(1.0)
+    t, over = _text(F.col("text")), Window.partitionBy(page)
+    r, l = F.sum(T.count_rtl(t) * w).over(over), F.sum(T.count_latin(t) * w).over(over)
+    return blocks.withColumn("_r", r).withColumn("_l", l).withColumn("page_direction", F.when(F.col("_r") + F.col("_l") == 0, hint or "rtl").when(F.col("_r") >= F.col("_l"), "rtl").otherwise("ltr")).drop("_r", "_l")
+
+
+def _with_finds(blocks: DataFrame) -> DataFrame:
+    """blocks with what metadata gathers of each; html_text is the text of a table's cells."""
     t = F.when(F.col("type") == "stamp", None).otherwise(F.coalesce(F.nullif(F.col("html_text"), F.lit("")), F.col("text")) if "html_text" in blocks.columns else F.col("text"))
-    rows = blocks.select(
-        page, "order", "id", "type", "lang",
-        F.when((F.col("type") == "stamp") & (_text(F.col("text")) != ""), F.struct("text", F.col("id").alias("block_id"))).alias("stamp"),
-        T.dates(t, F.col("id")).alias("dates"), T.doc_numbers(t, F.col("id"), F.col("type") == "doc_number").alias("numbers"),
-    )
+    return blocks.withColumns({
+        "_stamp": F.when((F.col("type") == "stamp") & (_text(F.col("text")) != ""), F.struct("text", F.col("id").alias("block_id"))),
+        "_dates": T.dates(t, F.col("id")), "_numbers": T.doc_numbers(t, F.col("id"), F.col("type") == "doc_number"),
+    })
+
+
+def _metadata_aggregates() -> list[Column]:
     both = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("order", "id", c))), lambda x: x[c]))
-    return rows.groupBy(page).agg(
-        both("numbers").alias("doc_numbers"), both("dates").alias("dates"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("stamp").isNotNull(), F.struct("order", "id", "stamp")))), lambda x: x["stamp"]).alias("stamp_texts"),
+    return [
+        both("_numbers").alias("doc_numbers"), both("_dates").alias("dates"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("_stamp").isNotNull(), F.struct("order", "id", "_stamp")))), lambda x: x["_stamp"]).alias("stamp_texts"),
         F.array_sort(F.collect_set("lang")).alias("languages"),
-    )
+    ]
 
 
-def page_review(blocks: DataFrame, page: str = "doc_id", warnings: DataFrame | None = None, cfg: Confidence = Confidence()) -> DataFrame:
-    """Per page: score (mean confidence by text length), needs_review and reasons."""
-    shown = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.col("html"), F.lit("")) if "html" in blocks.columns else _text(F.col("text"))
+def metadata(blocks: DataFrame, page: str = "doc_id") -> DataFrame:
+    """Per page: stamp texts, languages, dates and document numbers, in reading order."""
+    return _with_finds(blocks).groupBy(page).agg(*_metadata_aggregates())
+
+
+def _review_aggregates(columns: list[str]) -> list[Column]:
+    shown = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.col("html"), F.lit("")) if "html" in columns else _text(F.col("text"))
     counts = F.col("type").isin(*M.TEXT_TYPES, "table") & F.col("confidence").isNotNull()
     n = F.when(counts, F.greatest(F.lit(1), F.char_length(shown)))
     flagged = F.array_sort(F.collect_list(F.when(F.col("needs_review"), F.struct("order", F.concat("id", F.lit("("), "type", F.lit(")")).alias("s")))))
-    per = blocks.groupBy(page).agg(F.sum(F.col("confidence") * n).alias("t"), F.sum(n).alias("n"), flagged.alias("f"))
-    if warnings is not None:
-        per = per.join(warnings.select(page, "warnings"), page, "left")
-    else:
-        per = per.withColumn("warnings", F.array().cast("array<string>"))
-    score = F.coalesce(F.col("t") / F.col("n"), F.lit(0.0))
+    return [F.sum(F.col("confidence") * n).alias("_t"), F.sum(n).alias("_n"), flagged.alias("_f")]
+
+
+def _reviewed(per: DataFrame, cfg: Confidence) -> DataFrame:
+    """page_score, needs_review and reasons from the aggregates and `warnings`."""
+    score = F.coalesce(F.col("_t") / F.col("_n"), F.lit(0.0))
     severe = F.filter(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: w.rlike("|".join(M.SEVERE_QA)))
+    listed = F.array_join(F.transform(F.slice("_f", 1, 12), lambda x: x.s), ", ")
     reasons = F.concat(
         F.array_compact(F.array(
-            F.when(F.size("f") > 0, F.concat(F.size("f").cast("string"), F.lit(" block(s) need review: "), F.array_join(F.transform(F.slice("f", 1, 12), lambda x: x.s), ", "))),
+            F.when(F.size("_f") > 0, F.concat(F.size("_f").cast("string"), F.lit(" block(s) need review: "), listed)),
             F.when(score < cfg.page_review_threshold, F.format_string(f"page score %.2f < {cfg.page_review_threshold}", score)),
         )),
         F.transform(severe, lambda w: F.concat(F.lit("image quality: "), w)),
-        F.array_compact(F.array(F.when(F.col("n").isNull(), "no text recognized"))),
+        F.array_compact(F.array(F.when(F.col("_n").isNull(), "no text recognized"))),
     )
-    return per.select(page, F.bround(score, 4).alias("page_score"), (F.size(reasons) > 0).alias("needs_review"), reasons.alias("reasons"))
+    return per.withColumns({"page_score": F.bround(score, 4), "reasons": reasons}).withColumn("needs_review", F.size("reasons") > 0).drop("_t", "_n", "_f", "warnings")
+
+
+def page_review(blocks: DataFrame, page: str = "doc_id", warnings: DataFrame | None = None, cfg: Confidence = Confidence()) -> DataFrame:
+    """Per page: score (mean confidence by text length), needs_review and reasons."""
+    per = blocks.groupBy(page).agg(*_review_aggregates(blocks.columns))
+    per = per.join(warnings.select(page, "warnings"), page, "left") if warnings is not None else per.withColumn("warnings", F.array().cast("array<string>"))
+    return _reviewed(per, cfg).select(page, "page_score", "needs_review", "reasons")
+
+
+def summarised(blocks: DataFrame, pages: DataFrame, fields: list[str], page: str = "doc_id", cfg: Confidence = Confidence()) -> DataFrame:
+    """pages with their nested blocks, metadata and review: one aggregate over the blocks. In: pages.qa."""
+    nest = F.transform(F.array_sort(F.collect_list(F.struct(F.col("order").alias("_o"), F.col("id").alias("_i"), F.struct(*fields).alias("_b")))), lambda x: x["_b"])
+    per = _with_finds(blocks).groupBy(page).agg(nest.alias("blocks"), F.first("page_direction").alias("page_direction"), *_metadata_aggregates(), *_review_aggregates(blocks.columns))
+    return _reviewed(pages.join(per, page, "left").withColumn("warnings", F.col("qa.warnings")), cfg)
 
 
 def partial_ratio(a: str, b: str) -> float:

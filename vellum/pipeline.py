@@ -168,15 +168,12 @@ def finished(blocks: DataFrame, pages_: DataFrame, cfg: Config = Config()) -> Da
     b = P.without_duplicates(b)
     b = b.withColumn("type", T.refined_type(F.col("type"), F.col("text")))
     b = P.positional_types(b)
-    b = b.join(P.page_directions(b), "doc_id").join(pages_.select("doc_id", "width_mm"), "doc_id")
+    b = P.with_page_direction(b).join(pages_.select("doc_id", "width_mm"), "doc_id")
     b = P.styled(O.numbered(O.ordered(b)), cfg.docx)
     b = b.withColumn("html_text", F.when(F.coalesce("html", F.lit("")) != "", TB.plain_column(F.coalesce("html", F.lit("")))))
-    meta, review = P.metadata(b), P.page_review(b, warnings=pages_.select("doc_id", F.col("qa.warnings").alias("warnings")), cfg=cfg.confidence)
-    direction = b.groupBy("doc_id").agg(F.first("page_direction").alias("page_direction"))
-    nest = D.nested(b.select(
-        "doc_id", "id", "type", "bbox", "order", "text", "html", "image_path", "lang", "direction", "style", "confidence", "source_engine", F.col("source").alias("layout_source"), F.col("score").alias("layout_score"), "alternatives", "needs_review", "review_reasons", "line_height_px",
-    ))
-    out = pages_.where("error is null").join(nest, "doc_id", "left").join(meta, "doc_id", "left").join(review, "doc_id", "left").join(direction, "doc_id", "left")
+    b = b.withColumn("layout_source", F.col("source")).withColumn("layout_score", F.col("score"))
+    fields = "id type bbox order text html image_path lang direction style confidence source_engine layout_source layout_score alternatives needs_review review_reasons line_height_px".split()
+    out = P.summarised(b, pages_.where("error is null"), fields, cfg=cfg.confidence)
     none = F.array().cast("array<string>")
     return out.select(
         F.col("doc_id").alias("stem"), F.lit(M.SCHEMA_VERSION).alias("schema_version"), F.struct("path", "sha256", "width_px", "height_px").alias("source"),

@@ -712,3 +712,40 @@ def rates_by_grouping(get):
         F.col("source").alias("type"), "lang", (F.col("doc_id") % 3).cast("string").alias("level"), F.col("lang").alias("page_lang"), "ref",
         S.cer(F.col("ref"), F.col("hyp")).alias("cer"), S.cer(F.col("ref"), F.col("hyp")).alias("cer_nodiac"), F.lit(0.5).alias("wer"), F.col("source").alias("pred_type"), F.col("source").alias("type_"),
     ))
+
+
+def scored_blocks(get) -> DataFrame:
+    """Recognised and scored blocks of every order's page, as they come from arbitration."""
+    n = F.col("l_linenumber")
+    text = (
+        F.when(n == 1, F.concat(F.lit("Ref. No.: "), "l_partkey", F.lit("/"), "l_suppkey"))
+        .when(n == 2, F.concat(F.lit("Date: "), F.date_format("l_shipdate", "dd/MM/yyyy")))
+        .when(n == 3, F.concat(F.lit("Ref. No.: "), "l_suppkey", F.lit("\nDate: "), F.date_format("l_shipdate", "dd/MM/yyyy")))
+        .otherwise(F.concat(F.lit("plain words about part "), "l_partkey"))
+    )
+    x0, y0 = F.col("l_partkey") % 800, n * 97 % 600
+    none = F.array().cast("array<string>")
+    return get("lineitem").select(
+        F.col("l_orderkey").cast("string").alias("doc_id"), block_key().alias("id"), F.get(F.array(*map(F.lit, TYPES)), (F.col("l_partkey") % 7).cast("int")).alias("type"),
+        G.box(x0, y0, x0 + 40 + F.col("l_suppkey") % 200, y0 + 20 + F.col("l_quantity").cast("int")).alias("bbox"), text.alias("text"), F.lit(None).cast("string").alias("html"),
+        (1 - F.col("l_discount")).alias("confidence"), (F.col("l_discount") > 0.085).alias("needs_review"), none.alias("review_reasons"), F.lit("en").alias("lang"), F.lit("ltr").alias("direction"),
+        F.lit("engine").alias("source_engine"), F.lit("model").alias("source"), F.lit(0.9).alias("score"), F.array().cast("array<struct<engine:string,text:string,html:string,confidence:double,mean_logprob:double,seconds:double>>").alias("alternatives"),
+        F.lit(24.0).alias("line_height_px"), F.lit(1000).alias("page_w"), F.lit(700).alias("page_h"), F.lit(None).cast(f"array<{M.BOX}>").alias("lines"), F.lit(None).cast("string").alias("image_path"),
+    )
+
+
+@query("q44_finished_documents")
+def finished_documents(get):
+    """Everything after recognition, for every page: splits, duplicates, types, order, styles, metadata, review, nested documents."""
+    from vellum import pipeline
+
+    qa = F.struct(
+        F.lit(1000).alias("width_px"), F.lit(700).alias("height_px"), F.lit(100.0).alias("blur_laplacian_var"), F.lit(0.0).alias("glare_ratio"), F.lit(1.0).alias("document_coverage"),
+        F.lit(150.0).alias("estimated_dpi"), F.lit(True).alias("boundary_found"), F.array().cast("array<string>").alias("warnings"),
+    )
+    pages = get("lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id")).distinct().select(
+        "doc_id", F.lit("p").alias("path"), F.lit("0").alias("sha256"), F.lit(1000).alias("width_px"), F.lit(700).alias("height_px"), F.lit(1000).alias("page_w"), F.lit(700).alias("page_h"),
+        F.lit(297.0).alias("width_mm"), F.lit(210.0).alias("height_mm"), F.lit("A4").alias("paper"), F.lit(0).alias("rotation"), qa.alias("qa"), F.create_map(F.lit("total"), F.lit(0.0)).alias("timings"), F.lit(None).cast("string").alias("error"),
+    )
+    d = pipeline.finished(scored_blocks(get), pages)
+    return d.select("stem", F.size("blocks").alias("n_blocks"), F.size("metadata.dates").alias("n_dates"), F.size("metadata.doc_numbers").alias("n_numbers"), "review.page_score", "review.needs_review", "page.direction")
