@@ -1,4 +1,7 @@
+import statistics
+
 import numpy as np
+import pytest
 
 from vellum.operators import evaluate as E
 from vellum.operators import tables as TB
@@ -25,3 +28,10 @@ def test_degrading_keeps_the_shape():
         assert img.shape == p.shape and info["level"] == level
     patch = np.dstack([np.zeros((10, 10, 3), np.uint8), np.full((10, 10), 255, np.uint8)])
     assert S.composed(p, patch, 5, 5)[8, 8].tolist() == [0, 0, 0]
+
+
+def test_exclusive_quartiles(spark):
+    for values in ([1.0, 2.0], [5.0, 1.0, 9.0], [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0]):
+        got = E.exclusive_quartiles(spark.createDataFrame([("a", v) for v in values] + [("b", 1.0)], "k string, v double"), "k", "v").collect()
+        want = [min(max(values), max(min(values), q)) for q in statistics.quantiles(values, n=4)]
+        assert [r.k for r in got] == ["a"] and [got[0].q1, got[0].q2, got[0].q3] == pytest.approx(want)

@@ -158,6 +158,29 @@ def evaluate(truth: DataFrame, pred: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def exclusive_quartiles(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, q1, q2, q3) with ranks (n + 1) p, as the exclusive method has them; groups of two or more, of which there are few (scripts, levels).
+
+    The inclusive percentile at ((n + 1) p - 1) / (n - 1) is the exclusive one at p, so no group is gathered.
+    """
+    sizes = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1000).collect()
+    out = df.sparkSession.createDataFrame([], f"`{key}` {df.schema[key].dataType.simpleString()}, n long, q1 double, q2 double, q3 double")
+    for r in sizes:
+        at = [min(1.0, max(0.0, ((r["n"] + 1) * p - 1) / (r["n"] - 1))) for p in (0.25, 0.5, 0.75)]
+        part = df.where(F.col(key).eqNullSafe(F.lit(r[key]))).agg(F.count(value).alias("n"), *(F.percentile(value, p).alias(f"q{i + 1}") for i, p in enumerate(at)))
+        out = out.unionByName(part.select(F.lit(r[key]).alias(key), "n", "q1", "q2", "q3"))
+    return out
+
+
+def font_calibration(truth: DataFrame, pred: DataFrame, most: float = 0.2) -> DataFrame:
+    """Quartiles, by script, of the true size of a text over the height of its lines in points, for blocks that were read well."""
+    facts = block_facts(truth, pred).where(F.col("cer") <= most).select("stem", "pos", "pred_order", "lang")
+    size = truth.select("stem", F.posexplode("blocks").alias("pos", "g")).select("stem", "pos", F.col("g.size_pt").alias("size_pt"))
+    seen = pred.select("stem", (F.col("page.width_px") / F.col("page.width_mm")).alias("px_per_mm"), F.explode("blocks").alias("b")).select("stem", F.col("b.order").alias("pred_order"), (F.col("b.line_height_px") / F.col("px_per_mm") * 2.83465).alias("ink_pt"))
+    rows = facts.join(size, ["stem", "pos"]).join(seen, ["stem", "pred_order"]).where("size_pt > 0 and ink_pt > 0")
+    return exclusive_quartiles(rows.select(F.when(F.col("lang") == "en", "latin").otherwise("arabic").alias("script"), (F.col("size_pt") / F.col("ink_pt")).alias("ratio")), "script", "ratio")
+
+
 def _pct(x) -> str:
     return "-" if x is None or x != x else f"{x:.3f}"
 
