@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -56,25 +57,32 @@ def comparable(s: Column, drop_digits: bool | Column = False, compose: bool = Tr
 
 
 def count_rtl(s: Column) -> Column:
-    return F.char_length(F.regexp_replace(s, f"[^{M.RTL_LETTERS}]", ""))
+    """Letters of right-to-left scripts. All of these are beyond U+058F, so what is below is passed over by one plain range."""
+    return F.char_length(F.regexp_replace(s, rf"(?:[\x{{0}}-\x{{58f}}]++|[^{M.RTL_LETTERS}])++", ""))
 
 
 def count_latin(s: Column) -> Column:
-    return F.char_length(F.regexp_replace(s, "[^A-Za-z]", ""))
+    return F.char_length(F.regexp_replace(s, "[^A-Za-z]++", ""))
 
 
-def language(s: Column) -> Column:
-    """ar, en or mixed by letters; null where there are none."""
-    r, l = F.coalesce(count_rtl(s), F.lit(0)), F.coalesce(count_latin(s), F.lit(0))
+def language_of(r: Column, l: Column) -> Column:
+    """ar, en or mixed by numbers of letters; null where there are none."""
     n = r + l
     return F.when(n == 0, None).when(l <= 0.05 * n, "ar").when(r <= 0.05 * n, "en").otherwise("mixed")
 
 
-def direction(s: Column, default: str | Column = "rtl") -> Column:
-    r, l = F.coalesce(count_rtl(s), F.lit(0)), F.coalesce(count_latin(s), F.lit(0))
+def direction_of(r: Column, l: Column, default: str | Column = "rtl") -> Column:
     return F.when(r + l == 0, default if isinstance(default, Column) else F.lit(default)).when(r >= l, "rtl").otherwise("ltr")
 
 
+def language(s: Column) -> Column:
+    return language_of(F.coalesce(count_rtl(s), F.lit(0)), F.coalesce(count_latin(s), F.lit(0)))
+
+
+def direction(s: Column, default: str | Column = "rtl") -> Column:
+    return direction_of(F.coalesce(count_rtl(s), F.lit(0)), F.coalesce(count_latin(s), F.lit(0)), default)
+
+
 def digit_share(s: Column) -> Column:
     """Digits among the characters that are not white space; 0 for none."""
     n = F.char_length(F.regexp_replace(s, r"(?U)\s", ""))
@@ -220,41 +228,45 @@ def adapter(adapters: Column, region_type: Column) -> Column:
 RUNS = ArrayType(StructType([StructField("text", StringType()), StructField("direction", StringType())]))
 
 
+class _Classes(dict):
+    """Code point -> one letter: R (right-to-left letters and Arabic digits), L, E (European digits), M (marks) or N."""
+
+    def __missing__(self, c: int) -> str:
+        kind = unicodedata.bidirectional(chr(c))
+        self[c] = v = {"R": "R", "AL": "R", "AN": "R", "L": "L", "EN": "E", "NSM": "M"}.get(kind, "N")
+        return v
+
+
+CLASSES = _Classes()
+SAME = re.compile(r"(.)\1*")
+
+
 def bidi_runs(text: str | None, base: str = "rtl") -> list[tuple[str, str]]:
     """Cut a text into runs of one direction: letters decide, European digits follow a left-to-right letter before
     them (else the base), marks follow what they stand on, and what is neutral takes the direction on both sides, else the base."""
     if not text:
         return []
-    strong = {"R": "rtl", "AL": "rtl", "AN": "rtl", "L": "ltr"}
-    own: list[str | None] = []
-    last = None
-    for c in text:
-        kind = unicodedata.bidirectional(c)
-        if kind in strong:
-            last = strong[kind]
-            own.append(last)
+    last, parts = None, []  # (start, direction or None), a part for each run of characters of one class
+    for m in SAME.finditer(text.translate(CLASSES)):
+        k = m.group(1)
+        if k in "RL":
+            last = d = "rtl" if k == "R" else "ltr"
+        elif k == "E":
+            d = "ltr" if last == "ltr" else base
+        elif k == "M":
+            d = (parts[-1][1] if parts else None) or base
         else:
-            own.append((last if last == "ltr" else base) if kind == "EN" else None)
-    for i, c in enumerate(text):
-        if unicodedata.bidirectional(c) == "NSM":
-            own[i] = (own[i - 1] if i else None) or base
-    after: list[str | None] = [None] * len(text)
-    nxt = None
-    for i in range(len(text) - 1, -1, -1):
-        after[i] = nxt
-        nxt = own[i] or nxt
-    runs: list[tuple[str, str]] = []
-    before = None
-    for c, d, following in zip(text, own, after):
+            d = None
+        parts.append((m.start(), d))
+    out: list[list] = []
+    for i, (start, d) in enumerate(parts):
         if d is None:
-            d = before if before and before == following else base
-        else:
-            before = d
-        if runs and runs[-1][1] == d:
-            runs[-1] = (runs[-1][0] + c, d)
-        else:
-            runs.append((c, d))
-    return runs
+            before, after = (parts[i - 1][1] if i else None), (parts[i + 1][1] if i + 1 < len(parts) else None)
+            d = before if before and before == after else base
+        if not out or out[-1][1] != d:
+            out.append([start, d])
+    ends = [*(x[0] for x in out[1:]), len(text)]
+    return [(text[a:z], d) for (a, d), z in zip(out, ends)]
 
 
 @F.arrow_udf(RUNS)

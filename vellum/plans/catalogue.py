@@ -147,7 +147,8 @@ FROM c
 )
 def scripts(get):
     t = arabic(F.col("text"), F.col("doc_id"))
-    return get("documents").select("doc_id", T.count_rtl(t).cast("long").alias("rtl"), T.count_latin(t).cast("long").alias("latin"), T.language(t).alias("lang"), T.direction(t).alias("direction"))
+    d = get("documents").select("doc_id", T.count_rtl(t).cast("long").alias("rtl"), T.count_latin(t).cast("long").alias("latin"))  # each text is counted once
+    return d.select("doc_id", "rtl", "latin", T.language_of(F.col("rtl"), F.col("latin")).alias("lang"), T.direction_of(F.col("rtl"), F.col("latin")).alias("direction"))
 
 
 @query(
