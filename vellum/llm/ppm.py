@@ -41,7 +41,7 @@ from vellum.llm._rt import ready, store
 
 END, START = 0xFF, 0xFE  # bytes that no UTF-8 text holds
 SYMBOLS = 255  # all bytes but START
-LIMIT = 1 << 21
+LIMIT = 1 << 20  # windows that a task holds before it folds or gives them out
 
 
 def windows(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +85,7 @@ def count_windows(texts: DataFrame, order: int) -> DataFrame:
             texts = b.column(0).to_pylist()
             for lo in range(0, len(texts), 200):
                 held.append(windows(texts[lo : lo + 200], order)[0])
-                if sum(map(len, held)) > 2 * LIMIT:
+                if sum(map(len, held)) > LIMIT:
                     fold()
             if len(keys) > LIMIT:
                 yield from flush()
@@ -259,7 +259,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 held.update((t or "").encode().lower().split())
-                if len(held) > 300_000:
+                if len(held) > 150_000:
                     yield from flush()
         yield from flush()
 
@@ -269,7 +269,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 FIRST = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,n:long>>"
 
 
-def score(documents: DataFrame, trained_on: Column, order: int = 5, max_windows: int = 2_000_000, max_words: int = 300_000) -> DataFrame:
+def score(documents: DataFrame, trained_on: Column, order: int = 5, max_windows: int = 2_000_000, max_words: int = 200_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     ready(documents.sparkSession)
     texts = documents.where(trained_on).select("text")
