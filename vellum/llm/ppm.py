@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._rt import ready, store
+from vellum.llm._rt import ready, release, store
 
 END, START = 0xFF, 0xFE  # bytes that no UTF-8 text holds
 SYMBOLS = 255  # all bytes but START
@@ -93,6 +93,8 @@ def count_windows(texts: DataFrame, order: int) -> DataFrame:
         if held:
             fold()
         yield from flush()
+        keys = counts = None
+        release()
 
     return texts.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -262,6 +264,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 if len(held) > 150_000:
                     yield from flush()
         yield from flush()
+        release()
 
     return texts.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -310,6 +313,8 @@ def score(documents: DataFrame, trained_on: Column, order: int = 5, max_windows:
                     row += 1
                 out["doc_id"], out["score"] = ids[lo : lo + 100], scorer(part)
                 yield pa.RecordBatch.from_pydict(out, schema)
+        scorer = None
+        release()
 
     first = store(documents.select("doc_id", "text").mapInArrow(run, FIRST), "scored")
     rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
@@ -332,5 +337,7 @@ def _loaded(sent, token: str, order: int):
     """The word table and the trie of a broadcast, built once per worker."""
     if LOADED.get("token") != token:
         words, prices, w, n = sent.value
+        LOADED.clear()
+        release()
         LOADED.update(token=token, value=(dict(zip((x.encode() for x in words.to_pylist()), prices.tolist())), Trie(w, n, order)))
     return LOADED["value"]
