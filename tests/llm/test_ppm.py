@@ -87,3 +87,35 @@ def test_adaptive_learns():
     a = ppm.Adaptive(4)
     first, second = a.score("the cat sat on the mat"), a.score("the cat sat on the mat")
     assert second > first
+
+
+def reference(train, order):
+    import numpy as np
+
+    keys, counts = np.unique(ppm.windows(train, order)[0], return_counts=True)
+    return ppm.Scorer(ppm.Trie(keys, counts, order))
+
+
+def test_windows_beyond_those_sent_are_joined(spark):
+    from pyspark.sql import functions as F
+
+    rows = list(enumerate(texts(6, 80) + ["", None, "zzz Q"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for order in (1, 2, 5):
+        want = reference([t for i, t in rows if i % 3], order)([t for _, t in rows])
+        for most in (0, 60, 2_000_000):
+            got = {r.doc_id: r.score for r in ppm.score(df, F.col("doc_id") % 3 != 0, order=order, max_windows=most).collect()}
+            assert [got[i] for i, _ in rows] == pytest.approx(list(want))
+
+
+def test_no_window_is_left_out_of_a_large_model(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    train = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=115_000)) for _ in range(20)]
+    rows = [*enumerate(train), (100, train[0][:3000]), (101, train[7][50_000:50_400])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = reference(train, 5)
+    assert len(model.trie.keys[5]) > 2_200_000
+    got = {x.doc_id: x.score for x in ppm.score(df, F.col("doc_id") < 100).collect()}
+    assert [got[100], got[101], got[0]] == pytest.approx(list(model([rows[20][1], rows[21][1], train[0]])))
