@@ -187,6 +187,41 @@ def test_near_copies_recall_and_clean_texts(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_near_copies_equal_exact_similarity(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for g in range(60):  # far below and just at the similarity, so that a sketch cannot tell
+        w = [word() for _ in range(300)]
+        for k, edits in enumerate((0, r.randint(3, 16), r.randint(3, 16))):
+            v = list(w)
+            for _ in range(edits):
+                v[r.randrange(300)] = word()
+            rows.append((g * 10 + k, " ".join(v)))
+    rows += [(900, None), (901, ""), (902, "x y"), (903, "x y"), (None, rows[0][1])]
+    sh = [frozenset(zip(*((t or "").split()[k:] for k in range(5)))) or frozenset((t or "").split()) for _, t in rows]
+    par = list(range(len(rows)))
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sh[a] == sh[b] or len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b]):
+                x, y = find(a), find(b)
+                par[max(x, y)] = min(x, y)
+    want = {i: min(j for k, (j, _) in enumerate(rows) if find(k) == find(n) and j is not None) for n, (i, _) in enumerate(rows) if i is not None}
+    assert 20 < sum(want[i] != i for i in want) < 110
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), recall=0.9999).collect()}
+    assert {i: c for i, c in got.items() if i is not None} == want
+    groups = spark.createDataFrame([(0, n, t) for n, (_, t) in enumerate(rows[:180])], "root long, id long, text string")
+    edges = {tuple(e) for tile in (512, 7) for e in simhash.similar_edges(groups, 5, 0.8, tile).collect()}
+    assert all(len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b]) for a, b in edges)
+    assert {(find(a)) for a, b in edges} == {find(n) for n in range(180) if sum(find(m) == find(n) for m in range(180)) > 1}
+
+
 def test_pipeline_stages_keep_columns_and_clean_rows(spark, tmp_path):
     import corpus_pipeline
 

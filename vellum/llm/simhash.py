@@ -12,11 +12,14 @@ where they agree: no link is lost. Each fingerprint is in C(2r, r) cells (20 for
 `near_copies` (texts of a given Jaccard similarity over shingles). The radius is then a share of
 the bits, too wide for any lossless grid, so a longer fingerprint is cut into `bands` grid cells of
 one-bit segments, as many as the wanted recall needs for this many rows (both are computed, and
-the cells get finer as rows grow, so candidates stay in proportion).
+the cells get finer as rows grow, so candidates stay in proportion). What meets there and is near
+by a sketch is only a candidate: the shingle sets of everything that candidates connect are then
+compared with each other, and a link is an exact similarity of two sets.
 
 Rows of a cell are compared exactly, in blocks, and only a spanning forest of their links is given
 out, never all pairs. Cells of more than `tile` fingerprints are cut into pairs of tiles that go to
-different tasks. Equal fingerprints are one row from the start, however many documents have them.
+different tasks. Equal fingerprints (in near_copies, equal sets) are one row from the start, however
+many documents have them.
 
 Defined results: a text without words has fingerprint zero; null texts are empty texts; a null
 doc_id is labelled by the others of its component, and is null where there are none; repeated rows
@@ -69,21 +72,36 @@ def majority(h: np.ndarray, words: int = 1) -> np.ndarray:
     return np.packbits(count * 2 > len(h), bitorder="little").view(np.uint64)
 
 
-def fingerprints(documents: DataFrame, n: int, words: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, f0, f1, ...): one row per document. distinct: shingles count once each."""
+def fingerprints(documents: DataFrame, n: int, words: int = 1) -> DataFrame:
+    """(doc_id, f0, f1, ...): one row per document."""
     ready(documents.sparkSession)
     names = [f"f{k}" for k in range(words)]
 
     def run(batches):
         for b in batches:
             hashes = (shingle_hashes(t, n) for t in b.column(1).to_pylist())
-            rows = [majority(np.unique(h) if distinct else h, words) for h in hashes]
+            rows = [majority(h, words) for h in hashes]
             m = np.array(rows, np.uint64).reshape(-1, words).view(np.int64)
             yield pa.record_batch([b.column(0).cast(pa.int64()), *(pa.array(m[:, k]) for k in range(words))], ["doc_id", *names])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
 
 
+def set_prints(documents: DataFrame, n: int, words: int) -> DataFrame:
+    """(doc_id, text, id, f0, f1, ...): id is a hash of the set of shingles, the fingerprint is made of that set."""
+    ready(documents.sparkSession)
+    names = [f"f{k}" for k in range(words)]
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, n)) for t in b.column(1).to_pylist()]
+            m = np.array([majority(h, words) for h in sets], np.uint64).reshape(-1, words).view(np.int64)
+            ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets], np.uint64).view(np.int64)
+            yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(1), pa.array(ids), *(pa.array(m[:, k].copy()) for k in range(words))], ["doc_id", "text", "id", *names])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, id long, " + ", ".join(f"{x} long" for x in names))
+
+
 def grid_cells(prints: DataFrame, radius: int = 3) -> DataFrame:
     """(k1, k2, id, s0) for every cell of every 64-bit fingerprint `f0`, natively: two-bit segments."""
     groups = [[s for s in range(32) if s * 2 * radius // 32 == g] for g in range(2 * radius)]
@@ -141,17 +159,21 @@ def _forest(ids: np.ndarray, f: np.ndarray, radius: int) -> list[tuple[int, int]
     return out
 
 
-def edges_in_cells(cells: DataFrame, radius: int, tile: int = 4096) -> DataFrame:
-    """(a, b): distinct ids that are within the radius and share a cell, enough of them to connect all that are linked."""
+def _dealt(cells: DataFrame, tile: int, payload: list[str]) -> DataFrame:
+    """(k1, k2, t1, t2, id, payload): cells of two or more, as pairs of tiles; each pair is a run of rows of one task."""
     spark = cells.sparkSession
-    sketch = [c for c in cells.columns if c.startswith("s")]
     many = cells.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("id"), tiles).cast("int")
     others = F.when(tiles == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), tiles - 1), lambda x: x != own))
     rows = cells.join(many, ["k1", "k2"]).withColumn("own", own).withColumn("other", F.explode(others))
-    rows = rows.select("k1", "k2", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "id", *sketch)
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k1", "k2", "t1", "t2").sortWithinPartitions("k1", "k2", "t1", "t2", "id")
+    rows = rows.select("k1", "k2", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "id", *payload)
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k1", "k2", "t1", "t2").sortWithinPartitions("k1", "k2", "t1", "t2", "id")
+
+
+def edges_in_cells(cells: DataFrame, radius: int, tile: int = 4096) -> DataFrame:
+    """(a, b): distinct ids that are within the radius and share a cell, enough of them to connect all that are linked."""
+    rows = _dealt(cells, tile, [c for c in cells.columns if c.startswith("s")])
     # ids come last, so each run of equal keys is one cell (or one pair of its tiles)
 
     def run(batches):
@@ -191,6 +213,57 @@ def edges_in_cells(cells: DataFrame, radius: int, tile: int = 4096) -> DataFrame
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _similar(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges that span each component of the sets of the given Jaccard similarity or more."""
+    size = np.array([len(x) for x in sets], np.int64)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    bound = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(values), bool)
+    out, rest = [], np.flatnonzero(size)
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        own = np.concatenate([flat[bound[k] : bound[k + 1]] for k in rest])
+        start = np.concatenate([[0], np.cumsum(size[rest])[:-1]])
+        there = np.ones(len(rest), bool)
+        while queue and there.any():
+            i = queue.pop()
+            mine = flat[bound[i] : bound[i + 1]]
+            mark[mine] = True
+            common = np.add.reduceat(mark[own].astype(np.int64), start)
+            mark[mine] = False
+            near = there & (common >= similarity * (size[rest] + size[i] - common) - 1e-9)
+            there &= ~near
+            out += [(int(ids[i]), int(ids[j])) for j in rest[near]]
+            queue += rest[near].tolist()
+        rest = rest[there]
+    return out
+
+
+def similar_edges(groups: DataFrame, shingle: int, similarity: float, tile: int = 512) -> DataFrame:
+    """(a, b) of (root, id, text): ids of one root whose sets of shingles are similar, enough of them to connect all that are."""
+    rows = _dealt(groups.select(F.lit(0).alias("k1"), F.col("root").alias("k2"), "id", "text"), tile, ["text"])
+
+    def run(batches):
+        now, ids, sets = None, [], []
+
+        def found():
+            e = _similar(ids, sets, similarity) if len(ids) > 1 else []
+            if e:
+                e = np.sort(np.asarray(e, np.int64), axis=1)
+                yield pa.record_batch([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], ["a", "b"])
+
+        for b in batches:
+            for root, t1, t2, i, text in zip(*(b.column(k).to_pylist() for k in range(1, 6))):
+                if (root, t1, t2) != now:
+                    yield from found()
+                    now, ids, sets = (root, t1, t2), [], []
+                ids.append(i)
+                sets.append(np.unique(shingle_hashes(text, shingle)))
+        yield from found()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def _label(prints: DataFrame, groups: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Add component_id to prints: the smallest doc_id of everything linked."""
     roots = components(edges)
@@ -222,19 +295,22 @@ def banding(rows: int, similarity: float, recall: float) -> tuple[int, int]:
     return math.ceil(math.log(1 - recall) / math.log(1 - hit)), bits
 
 
-def near_copies(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, sketch: int = 4, slack: float = 0.03, tile: int = 4096) -> DataFrame:
+def near_copies(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99, sketch: int = 4, slack: float = 0.09, tile: int = 4096) -> DataFrame:
     """(doc_id, component_id) for texts whose sets of shingles have the given Jaccard similarity or more.
 
-    Links are decided on 64 * sketch bits of the fingerprints; slack is added to the share of bits
-    that differ at the similarity, as the share that is seen scatters around it.
+    Candidates are decided on 64 * sketch bits of the fingerprints; slack is added to the share of
+    bits that differ at the similarity, as the share that is seen scatters around it (four standard
+    deviations at 256 bits). Links are decided on the sets themselves.
     """
     bands, bits = banding(documents.count(), similarity, recall)
     words = -(-bands * bits // 64)
     names = [f"f{k}" for k in range(words)]
-    prints = store(fingerprints(documents, shingle, words, distinct=True).withColumn("id", F.xxhash64(*names)), "prints")
+    prints = store(set_prints(documents, shingle, words), "prints")
     groups = prints.groupBy("id").agg(F.min("doc_id").alias("least"), *(F.first(x).alias(x) for x in names))
     cells = band_cells(groups.select("id", *names), bands, bits, words, sketch)
-    edges = edges_in_cells(cells, int(64 * sketch * (bit_share(similarity) + slack)), tile)
+    candidates = components(edges_in_cells(cells, int(64 * sketch * (bit_share(similarity) + slack)), tile))
+    texts = prints.groupBy("id").agg(F.first("text").alias("text")).join(candidates.select(F.col("node").alias("id"), "root"), "id")
+    edges = similar_edges(store(texts, "candidates"), shingle, similarity)
     return _label(prints.select("doc_id", "id"), groups.select("id", "least"), edges, "id").select("doc_id", "component_id")
 
 
