@@ -317,3 +317,13 @@ def test_within_against_brute_force():
     for _ in range(200):
         a, b = ("".join(r.choice("abc") for _ in range(r.randint(1, n))) for n in (8, 15))
         assert decontaminate.within(a, b, 99) == plain(a, b)
+
+
+def test_items_without_their_first_words_in_any_place_of_a_batch(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    items = [(k, [word() for _ in range(30)]) for k in range(30)]
+    docs = [(k, " ".join(w[1 + k % 3 :])) for k, w in items] + [(100, " ".join(word() for _ in range(40))), (101, None)]
+    out = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"))
+    got = {x.doc_id: {m.item_id for m in x.matches} for x in out.collect()}
+    assert got == {**{k: {k} for k, _ in items}, 100: set(), 101: set()}

@@ -143,8 +143,11 @@ class Index:
                 flag[(sig >> np.uint64(64 - bits)).astype(np.int64)] = True
                 self.tables.append((walk, sig[order], np.asarray(item)[order], np.asarray(at)[order], flag, np.uint64(64 - bits)))
 
-    def candidates(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, word where it would begin) for all windows that share a signature."""
+    def candidates(self, h: np.ndarray, begin: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text, item, word of the text where it would begin) for all windows that share a signature; texts start at `begin`.
+
+        The text is that of the window, so an item whose first words are missing begins before word 0.
+        """
         out = set()
         for walk, sig, item, at, flag, shift in self.tables:
             if not len(h):
@@ -152,8 +155,10 @@ class Index:
             s = walk.signatures(h)
             p = np.flatnonzero(flag[(s >> shift).astype(np.int64)])
             lo, hi = np.searchsorted(sig, s[p], "left"), np.searchsorted(sig, s[p], "right")
-            for q, a, b in zip(p[hi > lo], lo[hi > lo], hi[hi > lo]):
-                out.update(zip(item[a:b].tolist(), (int(q) - at[a:b]).tolist()))
+            p, lo, hi = p[hi > lo], lo[hi > lo], hi[hi > lo]
+            text = np.searchsorted(begin, p, "right") - 1
+            for d, q, a, b in zip(text.tolist(), (p - begin[text]).tolist(), lo, hi):
+                out.update(zip([d] * (b - a), item[a:b].tolist(), (q - at[a:b]).tolist()))
         return out
 
     def verify(self, ws: list[bytes], found: set[tuple[int, int]]) -> list[dict]:
@@ -232,10 +237,9 @@ def _annotate(documents: DataFrame, sent, share: float, repetitions: int, sample
                 spread[np.arange(len(h)) + gap * owner] = h
                 begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(parts)) + gap)])
                 each: list[set] = [set() for _ in parts]
-                for x, start in index.candidates(spread):
-                    d = int(np.searchsorted(begin, max(start, 0), "right")) - 1
+                for d, x, start in index.candidates(spread, begin):
                     if d < len(each):
-                        each[d].add((x, start - int(begin[d])))
+                        each[d].add((x, start))
                 found += [index.verify(p.split(), c) if c else [] for p, c in zip(parts, each)]
             if more:
                 found = [a + c for a, c in zip(b.column(old).to_pylist(), found)]
