@@ -283,24 +283,81 @@ def test_decontamination_recall_and_precision(spark):
         docs.append((10000 + k, prose(r, 80), "m"))
     docs += [(20000, None, "m"), (20001, "", "m"), (20001, "", "m"), (None, items[5][1], "m")]
     df = spark.createDataFrame(docs, "doc_id long, text string, matches string")
-    bench = spark.createDataFrame([*items, (99, None), (98, "..")], "item_id long, text string")
-    for how in ({}, {"block_words": 100}):
-        got = {x.doc_id: {m.item_id for m in x.matches} for x in decontaminate.find(df, bench, **how).collect()}
-        found = [want[d] in got[d] for d in want]
-        assert sum(found) / len(found) >= 0.97
+    bench = spark.createDataFrame([*items, items[7], (99, None), (98, "..")], "item_id long, text string")
+    for how in ({}, {"block_chars": 1000}):
+        rows = decontaminate.find(df, bench, **how).collect()
+        assert sorted(str(x.doc_id) for x in rows) == sorted(str(x[0]) for x in docs)
+        got = {x.doc_id: {m.item_id for m in x.matches} for x in rows}
+        # an item with a fifth or more of its words edited may be beyond a fifth of its characters
+        found = [want[d] in got[d] for d in want if decontaminate.within(plain_text(items[want[d]][1]), plain_text(dict((x[0], x[1]) for x in docs)[d]), int(0.2 * len(plain_text(items[want[d]][1])))) is not None]
+        assert len(found) > 150 and sum(found) / len(found) >= 0.97
         assert all(want[d] in got[d] for d in want if d % 10 == 0)
-        text = {d: " ".join(decontaminate_words(t)) for d, t, _ in docs if d is not None}
-        for d in range(10000, 10100):  # each match that is reported is one by brute force
+        for d, t, _ in docs:  # each match that is reported is one by brute force
             for i in got[d]:
-                p = " ".join(decontaminate_words(items[i][1]))
-                assert decontaminate.within(p, text[d], int(0.2 * len(p))) is not None
+                p = plain_text(items[i][1])
+                assert decontaminate.within(p, plain_text(t), int(0.2 * len(p))) is not None
         assert got[20000] == set() and 5 in got[None]
     assert decontaminate.clean(df, bench).columns == df.columns
     assert decontaminate.clean(df, bench.limit(0)).count() == len(docs)
 
 
-def decontaminate_words(t):
-    return [w.decode() for w in decontaminate.words(t)]
+def plain_text(t):
+    return decontaminate.normal(t).decode()
+
+
+@pytest.mark.parametrize("words", [4, 6, 8, 12, 20, 30, 60])
+def test_recall_of_edits_spread_over_characters(words):
+    """Nine in ten at every share of edited characters, with the production parameters."""
+    r, g = random.Random(words), np.random.default_rng(words)
+    items = [(i, prose(r, words)) for i in range(60)]
+    index = decontaminate.Index(items, 0.2, 0.98, 12)
+    for share in (0.05, 0.1, 0.15, 0.2):
+        texts = [plain_text(f"{prose(r, 20)} {decontaminate.edited(g, plain_text(t), int(share * len(plain_text(t))))} {prose(r, 20)}") for _, t in items]
+        got = index.search([t.encode() for t in texts])
+        assert sum(i in {index.items[x[0]][0] for x in f} for (i, _), f in zip(items, got)) >= 54
+        for t, f in zip(texts, got):
+            for k, _, edits in f:
+                assert decontaminate.within(index.items[k][1], f" {t} ", 99) <= edits <= index.items[k][3]
+
+
+def test_places_of_matches():
+    r = random.Random(4)
+    items = [(i, prose(r, n)) for i, n in enumerate((2, 5, 30))]
+    index = decontaminate.Index(items, 0.2, 0.98, 12)
+    for i, t in items:
+        before = prose(r, 9)
+        where = len(before.split())
+        ws = t.split()
+        if len(ws) > 10:
+            ws[12] = ws[12][:-1] + "zq"
+        text = f"{before}, {' '.join(ws)} -- {' '.join(ws)}"
+        got = [(w, e) for k, w, e in index.search([decontaminate.normal(text)])[0] if index.items[k][0] == i]
+        assert [w for w, _ in got] == [where, where + len(ws)] and len({e for _, e in got}) == 1
+    assert index.search([]) == [] and index.search([b"", b"x"]) == [[], []]
+    assert decontaminate.Index([], 0.2, 0.98, 12).search([b"some words"]) == [[]]
+    short = decontaminate.Index([(1, "cat"), (2, "a")], 0.2, 0.98, 12)
+    assert short.search([b"the cat sat", b"concatenated", b"a"]) == [[(0, 1, 0)], [], [(1, 0, 0)]]
+
+
+def test_a_very_long_text_is_searched_to_its_end():
+    r = random.Random(14)
+    item = prose(r, 25)
+    text = decontaminate.normal(" ".join(prose(r, 50) for _ in range(3000)) + " " + item)
+    index = decontaminate.Index([(1, item)], 0.2, 0.98, 12)
+    assert (0, len(text.split()) - 25, 0) in index.search([text])[0]
+
+
+def test_best_place_against_brute_force():
+    r = random.Random(9)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(1, n))) for n in (7, 12))
+        edits, start, end = decontaminate.best_place(a, b, 99)
+        assert edits == decontaminate.within(a, b, 99)
+        assert decontaminate._ends(a, b)[end] == edits
+        # the part itself is that far from the pattern, from end to end
+        anchor = "#" * (len(a) + len(b))
+        assert decontaminate.within(anchor + a + anchor, anchor + b[start:end] + anchor, 99) == edits
+    assert decontaminate.best_place("abc", "xyz", 1) is None
 
 
 def test_within_against_brute_force():
