@@ -104,13 +104,11 @@ def hashed_lines(documents: DataFrame, least_chars: int) -> DataFrame:
     return keyed.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def repeated(keys: DataFrame, least_docs: int, batches: int, fanout: int, low: int, high: int) -> tuple[DataFrame, Runs]:
+def repeated(keys: DataFrame, runs: Runs, least_docs: int, batches: int) -> DataFrame:
     """(h1, h2, keeper) of the keys found in at least least_docs documents, through the runs."""
-    runs = Runs(keys.sparkSession, fanout)
     for b in range(batches):
-        own = keys.where((F.col("batch") == b) & F.col("doc_id").isNotNull()).select(*KEY, "doc_id").distinct()
-        runs.add(own)
-    return runs.merged().where(F.col("docs") >= least_docs).select(*KEY, "keeper"), runs
+        runs.add(keys.where((F.col("batch") == b) & F.col("doc_id").isNotNull()).select(*KEY, "doc_id").distinct())
+    return runs.merged().where(F.col("docs") >= least_docs).select(*KEY, "keeper")
 
 
 def dedup(documents: DataFrame, least_chars: int = 40, least_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -121,15 +119,18 @@ def dedup(documents: DataFrame, least_chars: int = 40, least_docs: int = 5, batc
     width = max(1, -(-(high - low + 1) // batches))
     batch = F.least(F.lit(batches - 1), F.floor((F.lit(high) - F.coalesce(F.col("doc_id"), F.lit(low))) / width)).cast("int")
     keys = store(hashed_lines(documents, least_chars).withColumn("batch", batch), "lines", "batch")
-    found, runs = repeated(keys, least_docs, batches, fanout, low, high)
-    hot = store(found, "hot")
-    runs.drop()
+    runs = Runs(spark, fanout)
+    try:
+        hot = store(repeated(keys, runs, least_docs, batches), "hot")
+    finally:
+        runs.drop()
     lost = keys.join(hot, KEY).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash")).agg(F.collect_set("pos").alias("lost_pos"))
     docs = documents.withColumn("own_hash", F.xxhash64("text"))
     both = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("own_hash") == F.col("lost_hash")), "left")
     every = lines(F.col("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("lost_pos"))
-    text = F.when(F.col("lost_pos").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(every, i)), "\n"))
+    # split once: a lambda's variable holds the lines while those that stay are taken out of them
+    stay = lambda held: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col("lost_pos")), lambda i: F.get(held, i)), "\n")
+    text = F.when(F.col("lost_pos").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.get(F.transform(F.array(every), stay), F.lit(0)))
     out = both.select(*(F.col(c) for c in documents.columns if c != "text"), text.alias("text"), F.size(every).cast("long").alias("n_lines"), F.coalesce(F.size("lost_pos"), F.lit(0)).cast("long").alias("n_dropped"))
     return out
