@@ -3,7 +3,8 @@
 An archive is a skippable frame (magic 0x184D2A5D) holding the dictionary, then one Zstandard frame
 per WARC record. Archives are kept as rows (archive, content) of a Parquet table in the shared
 folder, each of about `archive_bytes` at most before compression, so any executor can write or read
-them and a lost task is simply run again; `read_archives` also takes Spark's binaryFile rows.
+them and a lost task is simply run again; `read_archives` also takes Spark's binaryFile rows (one row
+holds one archive there, so archives of more than two gigabytes must be split at frames first).
 
 Reading loads the dictionary from the leading frame, decodes one frame per record and validates the
 WARC version line, the needed headers, Content-Length against the block, and the payload digest.
@@ -28,9 +29,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._rt import ready, store
+from vellum.llm._rt import ready, release, store
 
 MAGIC = 0x184D2A5D
+SALT = 32
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
@@ -41,7 +43,8 @@ class WarcError(ValueError):
 def train_dictionary(pages: DataFrame, column: str = "html", rows: int = 400, size: int = 32768, most: int = 65536) -> bytes:
     """A dictionary from at most `rows` payloads (those with the smallest hashes of their ids), `most` bytes of each; it has a fixed bound."""
     ids = pages.where(F.col("page_id").isNotNull() & (F.length(column) > 0)).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(rows)
-    part = pages.join(F.broadcast(ids), "page_id").select(F.substring(F.col(column).cast("binary"), 1, most).alias("x")).limit(rows)
+    part = pages.join(F.broadcast(ids), "page_id").select("page_id", F.substring(F.col(column).cast("binary"), 1, most).alias("x"))
+    part = part.orderBy(F.xxhash64("page_id"), "page_id", "x").limit(rows)  # rows may repeat an id
     samples = sorted(bytes(r["x"]) for r in part.collect())
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -116,26 +119,30 @@ def parse(data: bytes) -> dict:
     return {"page_id": key("warc-record-id"), "payload_bytes": length, "payload_digest": digest, "record_type": h["warc-type"], "refers_to": key("warc-refers-to") if revisit else None, "url": h.get("warc-target-uri", "")}
 
 
-def records(content: bytes):
-    """Every record of an archive, one frame at a time."""
+def records(content: bytes, step: int = 1 << 14):
+    """Every record of an archive, one frame at a time; what is read beyond a frame's end is at most `step` bytes, so time grows with the archive's size."""
     dictionary, at = split_dictionary(content)
     inflate = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     view = memoryview(content)
     while at < len(content):
-        d = inflate.decompressobj()
-        data = d.decompress(view[at:])
-        if not d.eof:
-            raise WarcError("a frame is cut off")
-        at = len(content) - len(d.unused_data)
-        yield data
+        d, parts = inflate.decompressobj(), []
+        while not d.eof:
+            if at >= len(content):
+                raise WarcError("a frame is cut off")
+            parts.append(d.decompress(view[at : at + step]))
+            at = min(at + step, len(content)) - len(d.unused_data)
+        yield b"".join(parts)
 
 
 def decide(pages: DataFrame, least: int = 1000) -> DataFrame:
     """pages with payload, digest, refers_to and revisit, by native aggregates and joins."""
     body = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     again = body.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a third of all pages may be copies of one: such rows are dealt over SALT keys, and the few narrow rows of the other side are repeated
+    body = body.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)))
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     revisit = (F.length("payload") >= least) & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return body.join(again, "digest", "left").withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("keeper"))).select("page_id", "url", "payload", "digest", "refers_to", "revisit")
+    return body.join(again, ["digest", "salt"], "left").withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("keeper"))).select("page_id", "url", "payload", "digest", "refers_to", "revisit")
 
 
 def write_archives(decided: DataFrame, dictionary: bytes, archive_bytes: int = 8 << 20, level: int = 3) -> DataFrame:
@@ -155,6 +162,8 @@ def write_archives(decided: DataFrame, dictionary: bytes, archive_bytes: int = 8
                 size += len(data)
         if parts:
             yield pa.record_batch([pa.array([len(parts)], pa.int64()), pa.array([head + b"".join(parts)], pa.large_binary())], ["n_records", "content"])
+        parts = None
+        release()
 
     return decided.mapInArrow(run, "n_records long, content binary")
 
@@ -164,7 +173,7 @@ def read_archives(archives: DataFrame, content: str | Column = "content") -> Dat
 
     def run(batches):
         for b in batches:
-            for x in b.column(0).to_pylist():
+            for x in (v.as_py() for v in b.column(0)):  # one archive at a time
                 rows = []
                 for data in records(x):
                     rows.append(parse(data))
@@ -173,6 +182,8 @@ def read_archives(archives: DataFrame, content: str | Column = "content") -> Dat
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, ARROW)
+        b = x = rows = None
+        release()
 
     return archives.select(content).mapInArrow(run, RECORD)
 
