@@ -23,7 +23,9 @@ from __future__ import annotations
 import array
 import bisect
 import os
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm._rt import ready, store
+from vellum.llm._rt import begin, holds, ready, store
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank_in_task long"
 
@@ -41,10 +43,12 @@ STOP = re.compile(rb"(?<=[a-z])([,.])(?![^ \t\n\r\x0b\x0c])")
 
 
 class Encoder:
-    """Text -> little-endian uint32 ids, through a bounded table of words.
+    """Text -> little-endian uint32 ids, through a bounded table of words where the tokenizer allows it.
 
-    The tokenizer drops white space and joins nothing over it, so words between ASCII space are
-    encoded on their own (other space stays inside a word); new words of a batch go in one call.
+    A tokenizer that drops white space and joins nothing over it gives words between ASCII space the
+    ids that they have on their own (other space stays inside a word); new words of a batch then go
+    in one call. Whether a tokenizer does so is tried out when it is loaded, on texts of all kinds of
+    signs; with any other tokenizer whole texts are encoded.
     """
 
     def __init__(self, path: str, cap: int = 400_000):
@@ -54,6 +58,12 @@ class Encoder:
         self.tok, self.cap = Tokenizer.from_file(path), cap
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # the table before the last one filled up; its words move over when met
+        self.by_word = True
+        tried = probes()
+        self.by_word = self(tried) == self.whole(tried)
+
+    def whole(self, texts: list[str | None]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
 
     @staticmethod
     def words(text: str) -> list[bytes]:
@@ -64,6 +74,8 @@ class Encoder:
         return data.split()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return self.whole(texts)
         split = [self.words(t or "") for t in texts]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > self.cap:
@@ -79,7 +91,16 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
+def probes(n: int = 400) -> list[str]:
+    """Texts of letters, digits, marks, all kinds of space, accents, other scripts and names of special tokens, beside and inside words."""
+    r = random.Random(5)
+    signs = [*string.printable, *"\xa0\u2028\u200b\u3000\x85éÉßİΣσ\u0301\u0627\u0644漢字🙂ﬁ", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "  ", ", ", ". ", "\r\n"]
+    word = lambda: "".join(r.choice(string.ascii_letters) for _ in range(r.randint(1, 9)))
+    return ["".join(r.choice((word, word, lambda: " ", lambda: r.choice(signs), lambda: str(r.randint(0, 12345))))() for _ in range(r.randint(0, 40))) for _ in range(n)]
+
+
 ENCODERS: dict[str, Encoder] = {}
+holds("packing", ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -95,6 +116,7 @@ def pieces(documents: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
     end = b"\0\0\0\0"
 
     def run(batches):
+        begin("packing")
         encode, count, task = encoder(tokenizer), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for b in batches:
             rows = []
