@@ -23,22 +23,23 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._rt import ready
+from vellum.llm._rt import begin, holds, ready
 from vellum.llm.toxicity import sampled_labels
 
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shape(word: str) -> str:
+    """Capitals, small letters and digits as A, a and 0, other signs as they are; runs of one kind as one. The whole word counts."""
     out = []
-    for c in word[:64]:
+    for c in word:
         x = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != x:
             out.append(x)
-    return "".join(out[:8])
+    return "".join(out)
 
 
 class Words:
@@ -59,6 +60,7 @@ class Words:
 
 
 WORDS = Words()
+holds("quality", WORDS.row.clear)
 
 
 def _shares(h: np.ndarray, n: int, salt: int) -> np.ndarray:
@@ -125,13 +127,14 @@ class Ordinal:
             self.gaps[k] -= step * by_t[k + 1 :].sum() * math.exp(self.gaps[k])
 
 
-def fit(documents: DataFrame, labels: DataFrame, target: str = "quality", per_grade: int = 4000, bits: int = 18, epochs: int = 4) -> dict:
-    """{"bits", "grades", "thresholds", "index", "weight"}; grades are the distinct values of the target, in order."""
+def fit(documents: DataFrame, labels: DataFrame, target: str = "quality", allowed: Column | None = None, per_grade: int = 4000, bits: int = 18, epochs: int = 4) -> dict:
+    """{"bits", "grades", "thresholds", "index", "weight"}; grades are the distinct values of the target, in order. Only rows of labels where `allowed` holds are used."""
     ready(documents.sparkSession)
-    ids = sampled_labels(labels, target, per_grade, F.lit(True))
+    ids = sampled_labels(labels, target, per_grade, F.lit(True) if allowed is None else allowed)
     rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "grade").repartition(1)  # at most per_grade rows for each grade
 
     def train(batches):
+        begin("quality")
         seen = []
         for b in batches:
             for d, t, g in zip(*(b.column(k).to_pylist() for k in range(3))):
@@ -159,6 +162,7 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
     place = names.index("text")
 
     def run(batches):
+        begin("quality")
         w = np.zeros(2**bits)
         w[index] = weight
         steps = np.diff(grades) if len(grades) > 1 else np.zeros(1)

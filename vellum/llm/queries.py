@@ -45,7 +45,8 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+    """The spans of the fuzzy matches come as JSON."""
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +58,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected grade and probability of the better grade of every document, and whether it is selected."""
+    """Expected grade and probability of the better grade of every document, and whether it is selected; nothing is learnt from held-out rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
-    tail = F.get("tails", F.lit(0))
-    return quality.score(docs, model).select("doc_id", "expected_grade", tail.alias("tail_probability"), (tail >= 0.5).alias("selected"))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", toxicity.learnable(F.col("doc_id")))
+    tail, held = F.get("tails", F.lit(0)), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "expected_grade", tail.alias("tail_probability"), (tail >= 0.5).alias("selected"))
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
