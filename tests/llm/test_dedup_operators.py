@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -42,6 +43,31 @@ def test_line_dedup_against_brute_force(spark, seed):
     assert linededup.dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_texts_of_many_lines(spark):
+    """Texts of 20,000 lines that share half of them; the time grows with the lines."""
+    took = []
+    for n in (5000, 20_000):
+        rows = [(d, "\n".join(f"a line of its own, number {i} of document {d}" if i % 2 else f"a line that all of the documents share, number {i}" for i in range(n))) for d in range(6)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        start = time.perf_counter()
+        got = {x.doc_id: (x.n_lines, x.n_dropped, x.text) for x in linededup.dedup(df, 20, 5).collect()}
+        took.append(time.perf_counter() - start)
+        assert got[5] == (n, 0, rows[5][1])
+        assert all(got[d] == (n, n // 2, "\n".join(rows[d][1].split("\n")[1::2])) for d in range(5))
+    assert took[1] < 8 * took[0] + 5
+
+
+def test_runs_do_not_outlive_a_failure(spark, monkeypatch):
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(linededup, "repeated", lambda keys, runs, *_: (runs.add(keys.select("h1", "h2", "doc_id").distinct()), fail())[1])
+    before = {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(RuntimeError):
+        linededup.dedup(spark.createDataFrame([(1, "a line that is long enough to count here")], "doc_id long, text string"), 10)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_runs_are_compacted(spark):
     runs = linededup.Runs(spark, fanout=2, buckets=2)
     for b in range(5):
@@ -222,6 +248,61 @@ def test_near_copies_equal_exact_similarity(spark):
     assert {(find(a)) for a, b in edges} == {find(n) for n in range(180) if sum(find(m) == find(n) for m in range(180)) > 1}
 
 
+def test_large_cells_are_cut_by_a_second_grid_without_losing_links(spark):
+    r = np.random.default_rng(7)
+    fps = {0}
+    while len(fps) < 400:  # few segments differ, so that all are in the same cells
+        fps.add(sum(1 << int(b) for b in r.choice(64, r.integers(1, 5), replace=False)))
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "f0 long")
+    want = {frozenset((a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    for tile in (4096, 20):
+        got = {frozenset(tuple(e)) for e in simhash.grid_edges(df, 3, tile).collect()}
+        assert got <= want and joined(signed, got) == joined(signed, want)
+    assert simhash.finer_cells(simhash.grid_cells(df), 3).groupBy("key").count().agg(F.max("count")).first()[0] < 200
+
+
+def joined(nodes, edges):
+    par = {n: n for n in nodes}
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for e in edges:
+        x, y = (find(v) for v in e)
+        par[max(x, y)] = min(x, y)
+    return [find(n) for n in nodes]
+
+
+def test_what_goes_is_similar_to_one_that_stays(spark):
+    """Chains, stars and large groups, in one task and in rounds; nothing that stays is similar to another that stays."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows, n = [], 0
+    for g in range(4):
+        w = [word() for _ in range(200)]
+        for k in range(60):  # each a few words on from the one before, or from the first
+            if g % 2:
+                w = list(w)
+            v = w if g % 2 else list(w)
+            for _ in range(3):
+                v[r.randrange(200)] = word()
+            rows.append((g % 3, n, n + 5, " ".join(v)))
+            n += 1
+    df = spark.createDataFrame(rows, "root long, id long, least long, text string")
+    sh = {i: frozenset(zip(*(t.split()[k:] for k in range(5)))) for _, i, _, t in rows}
+    root = {i: g for g, i, _, _ in rows}
+    near = lambda a, b: len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b])
+    for tile in (512, 25, 4):
+        gone = {x.id for x in simhash.gone_of(df, 5, 0.8, tile).collect()}
+        kept = set(sh) - gone
+        assert 20 < len(gone) < n - 4
+        assert all(any(near(i, j) and root[i] == root[j] for j in kept) for i in gone)
+        assert not any(near(i, j) for i in kept for j in kept if i < j and root[i] == root[j])
+
+
 def test_pipeline_stages_keep_columns_and_clean_rows(spark, tmp_path):
     import corpus_pipeline
 

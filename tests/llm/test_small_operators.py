@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -125,6 +126,40 @@ def test_license_fuzzy_loses_nothing_to_the_seeds():
     assert got["labels"] == "mit" and got["spans"][0]["first_word"] == 1 and 0 < got["score"] < 1
 
 
+def test_license_spans_against_brute_force():
+    """Texts of several notices, edited or not, one after the other: each is reported, at its word, with its edits."""
+    r = random.Random(8)
+    s = licenses.Scanner()
+    for _ in range(200):
+        words, want = [], []
+        for _ in range(r.randint(1, 6)):
+            p, label, k = r.choice(s.notices)
+            t = list(p)
+            for _ in range(r.randint(0, min(k, 2))):
+                t[r.choice([i for i, c in enumerate(t) if c != " "])] = "q"
+            want.append((len(words), len(p.split()), label, sum(x != y for x, y in zip(t, p))))
+            words += "".join(t).split() + ["zzzzzzzzzz"] * r.randint(0, 3)
+        got = [(x["first_word"], x["n_words"], x["label"], x["edits"]) for x in s.scan(" ".join(words))["spans"]]
+        assert all(w in got for w in want), (words, want, got)
+        for a, n, label, e in got:  # and what is reported is there
+            part = " ".join(words[a : a + n])
+            assert any(x == label and regex.fullmatch(f"(?:{regex.escape(p, special_only=True)}){{e<={e + 2}}}", part) for p, x, _ in s.notices)
+    got = s.scan("released under teh mit license released under the mit license")["spans"]
+    assert [(x["first_word"], x["edits"]) for x in got] == [(0, 2), (5, 0)]
+
+
+def test_license_scan_is_linear():
+    s = licenses.Scanner()
+    for part in ("cc by ", "released under teh mit license "):
+        start = time.perf_counter()
+        s.scan(part * 2000)
+        once = time.perf_counter() - start
+        start = time.perf_counter()
+        got = s.scan(part * 16000)
+        assert time.perf_counter() - start < 30 * once + 0.5
+        assert got["n_words"] == 16000 * len(part.split())
+
+
 def test_license_table(spark):
     df = spark.createDataFrame([(1, "All Rights Reserved", "a"), (1, "All Rights Reserved", "a"), (None, None, "b")], "doc_id long, text string, labels string")
     assert licenses.scan(df).count() == 3 and licenses.scan(df.limit(0)).count() == 0
@@ -151,11 +186,33 @@ def test_topk_with_ties_nulls_and_large_values(spark):
     for block in (4096, 2):
         got = topk.search(df, F.col("vec_id") % 100 == 0, 10, block=block).collect()
         assert sorted(map(tuple, got)) == sorted(brute_topk(rows, 10))
+    for how in ({"block": 2, "group": 50, "tile": 7}, {"block": 3, "tile": 1}):  # several blocks and groups
+        assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 100 == 0, 10, **how).collect())) == sorted(brute_topk(rows, 10))
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in topk.search(few, F.col("vec_id") % 100 == 0, 10).collect()] == [(0, 1, 1, 1024 * 2048)]
     assert topk.search(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_reads_the_table_once_for_all_blocks_and_sends_nothing(spark, tmp_path):
+    r = np.random.default_rng(3)
+    spark.createDataFrame([(i, [float(x) for x in r.normal(size=8)]) for i in range(3000)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/v")
+    df = spark.read.parquet(f"{tmp_path}/v")
+    out = topk.search(df, F.col("vec_id") % 100 == 0, 10, block=8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 2 and "Broadcast" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    one = topk.search(df, F.col("vec_id") % 100 == 0, 10)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_topk_of_huge_components_and_one_id_on_most_rows(spark):
+    rows = [(100, [2.0**40, 1.0]), (200, [-(2.0**60), 0.0]), (1, [2.0**30, 3.0]), (2, [1e300, -1e300]), (3, [0.5, 0.25])] + [(100, [float(k), 1.0]) for k in range(300)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 3).collect()
+    by = {(x.query_id, x.rank): (x.vec_id, x.score) for x in got}
+    assert by[100, 1][0] in (1, 2, 3, 200) and all(abs(x.score) <= 2**62 for x in got)
+    assert by[200, 1][1] == 0 or by[200, 1][1] > -(2**62)
+    assert len(got) == 6
+
+
 # ---- WARC -----------------------------------------------------------------
 
 
@@ -200,6 +257,22 @@ def test_warc_refuses_broken_records():
     assert base64.b32encode(hashlib.sha1(b"abc").digest()) in good
 
 
+def test_warc_reads_many_records_in_proportion(spark):
+    squeeze = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(b"d" * 100))
+    r = random.Random(5)
+    one = lambda n: squeeze.compress(warc.record(n, "u", r.randbytes(400), hashlib.sha1(b"").hexdigest(), None, False))
+    frames = [one(n) for n in range(20_000)]
+    took = []
+    for n in (2500, 20_000):
+        data = warc.dictionary_frame(b"d" * 100) + b"".join(frames[:n])
+        start = time.perf_counter()
+        assert sum(1 for _ in warc.records(data)) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 20 * took[0] + 0.5
+    long = squeeze.compress(warc.record(1, "u", r.randbytes(3_000_000), "00" * 20, None, False))
+    assert [len(x) > 400 for x in warc.records(warc.dictionary_frame(b"d" * 100) + frames[0] + long + frames[1])] == [True] * 3
+
+
 # ---- packing --------------------------------------------------------------
 
 
@@ -230,6 +303,14 @@ def test_packing_cuts_places_and_crcs(spark):
     assert packing.pack(df.limit(0), vocabulary(), size).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_the_whole_text_with_any_tokenizer(name):
+    e = packing.Encoder(vocabulary(name))
+    assert e.by_word == name.startswith("word")
+    texts = [None, "", *packing.probes(600)[400:], "Hello, World. it's  A test<|endoftext|> \n x" * 50]
+    assert e(texts) == e.whole(texts)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_holds_every_piece_and_is_near_the_bound(seed):
     r = random.Random(seed)

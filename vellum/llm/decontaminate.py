@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._rt import ready
+from vellum.llm._rt import begin, holds, ready
 
 OTHER = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 BLOCK = 1 << 14
@@ -342,6 +342,7 @@ def find(documents: DataFrame, items: DataFrame, share: float = 0.2, recall: flo
 MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("edits", pa.int64())]))
 BATCH_BYTES, RUN_BYTES = 400_000, 16 << 20
 HELD: dict = {}
+holds("decontaminate", HELD.clear)
 
 
 def _held(block, token: str) -> Index:
@@ -376,6 +377,7 @@ def _annotate(documents: DataFrame, sent: list) -> DataFrame:
         return out
 
     def run(batches):
+        begin("decontaminate")
         held, size = [], 0
 
         def flush():

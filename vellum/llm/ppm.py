@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._rt import ready, release, store
+from vellum.llm._rt import begin, holds, ready, release, store
 
 END, START = 0xFF, 0xFE  # bytes that no UTF-8 text holds
 SYMBOLS = 255  # all bytes but START
@@ -364,6 +364,7 @@ def score(documents: DataFrame, trained_on: Column, order: int = 5, max_windows:
     sent = documents.sparkSession.sparkContext.broadcast((pa.array(words, pa.string()), prices, w, of_w))  # at most max_words and max_windows entries
 
     def run(batches):
+        begin("ppm")
         table, known_windows = _loaded(sent, token, order)
         scorer = Scorer(known_windows)
         task, row = TaskContext.get().partitionId(), 0
@@ -407,6 +408,7 @@ def score(documents: DataFrame, trained_on: Column, order: int = 5, max_windows:
 
 
 LOADED: dict = {}
+holds("ppm", LOADED.clear)
 
 
 def _loaded(sent, token: str, order: int) -> tuple[dict[bytes, float], Priced]:

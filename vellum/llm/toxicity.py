@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm._rt import ready
+from vellum.llm._rt import begin, holds, ready
 
 MOST_GRADES = 100
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\~`^+=@"
@@ -47,6 +47,7 @@ class Words:
 
 
 WORDS = Words()
+holds("toxicity", WORDS.row.clear)
 
 
 def features(text: str | None, bits: int) -> np.ndarray:
@@ -120,6 +121,7 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", allowed:
     rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "grade").repartition(1)
 
     def train(batches):
+        begin("toxicity")
         seen = []
         for b in batches:
             for d, t, g in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -148,6 +150,7 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
     bits, bias, index, weight = model["bits"], model["bias"], model["index"], model["weight"].astype(np.float32)
 
     def run(batches):
+        begin("toxicity")
         table = np.zeros(2**bits, np.float32)
         table[index] = weight
         for b in batches:
