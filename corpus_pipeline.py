@@ -31,7 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    """Without documents that are near copies of one that stays: five-word shingles, similarity of 0.8 or more."""
     ready(spark)
     return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
