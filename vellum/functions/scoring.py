@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from vellum.config import Confidence, Vlm
 from vellum.functions import text as T
+from vellum.kernels.edits import distance
 from vellum.model import UNREADABLE
 
 
-def agreement(a: Column, b: Column, drop_digits: bool | Column = False, compose: bool = True) -> Column:
-    """1 less the edit distance as a share of the longer text; 1 where nothing is left of both; null where one is null."""
+@F.arrow_udf(IntegerType())
+def edits(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Edit distance of two texts of any length and script; null where one is null."""
+    return pa.array([None if x is None or y is None else distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+
+
+def agreement(a: Column, b: Column, drop_digits: bool | Column = False, compose: bool = True, edits: Callable = F.levenshtein) -> Column:
+    """1 less the edit distance as a share of the longer text; 1 where nothing is left of both; null where one is null.
+
+    edits: how edits are counted; the JVM's way suits blocks, `edits` of this module whole texts.
+    """
     x, y = T.comparable(a, drop_digits, compose), T.comparable(b, drop_digits, compose)
     n = F.greatest(F.char_length(x), F.char_length(y))
-    return F.when(a.isNull() | b.isNull(), None).when(n == 0, 1.0).otherwise(1 - F.levenshtein(x, y) / n)
+    return F.when(a.isNull() | b.isNull(), None).when(n == 0, 1.0).otherwise(1 - edits(x, y) / n)
 
 
 def _clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
@@ -82,22 +96,13 @@ def token_budget(w: Column, h: Column, kind: Column, line_height: Column, cfg: V
 def cer(ref: Column, hyp: Column) -> Column:
     """Edits over the length of the reference; may pass 1; an empty reference gives 0 or 1."""
     r, h = F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit(""))
-    return F.when(r == "", F.when(h == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(r, h) / F.char_length(r))
-
+    return F.when(r == "", F.when(h == "", 0.0).otherwise(1.0)).otherwise(edits(r, h) / F.char_length(r))
 
-def token_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance of two arrays of words, by rows, in the JVM."""
-    start = F.sequence(F.lit(0), F.size(hyp))
 
-    def step(row, w):
-        def cell(acc, j):
-            same = F.when(F.get(hyp, j - 1) == w, 0).otherwise(1)
-            return F.concat(acc, F.array(F.least(F.get(acc, j - 1) + 1, F.get(row, j) + 1, F.get(row, j - 1) + same)))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(hyp)), F.array(F.get(row, F.lit(0)) + 1), cell)
-
-    full = F.get(F.aggregate(ref, start, step), F.size(hyp))
-    return F.when(F.size(hyp) == 0, F.size(ref)).otherwise(full)
+@F.arrow_udf(IntegerType())
+def token_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Edit distance of two arrays of words; null where one is null."""
+    return pa.array([None if x is None or y is None else distance(x, y) for x, y in zip(ref.to_pylist(), hyp.to_pylist())], pa.int32())
 
 
 def wer(ref: Column, hyp: Column) -> Column:
@@ -106,11 +111,41 @@ def wer(ref: Column, hyp: Column) -> Column:
     return F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(token_distance(r, h) / F.size(r))
 
 
+def _tau(ranks: list) -> float | None:
+    """By merging sorted halves: pairs in order, less pairs out of order, as a share of both."""
+    x = [r for r in ranks if r is not None]
+    out = 0  # pairs out of order
+    width = 1
+    while width < len(x):
+        for lo in range(0, len(x), 2 * width):
+            a, b = x[lo : lo + width], x[lo + width : lo + 2 * width]
+            merged, i = [], 0
+            for v in b:
+                while i < len(a) and a[i] <= v:
+                    merged.append(a[i])
+                    i += 1
+                out += len(a) - i
+                merged.append(v)
+            x[lo : lo + 2 * width] = merged + a[i:]
+        width *= 2
+    ties, run = 0, 1
+    for i in range(1, len(x) + 1):
+        if i < len(x) and x[i] == x[i - 1]:
+            run += 1
+        else:
+            ties, run = ties + run * (run - 1) // 2, 1
+    both = len(x) * (len(x) - 1) // 2 - ties
+    return (both - 2 * out) / both if both else None
+
+
+@F.arrow_udf(DoubleType())
+def _taus(ranks: pa.Array) -> pa.Array:
+    return pa.array([None if r is None else _tau(r) for r in ranks.to_pylist()], pa.float64())
+
+
 def kendall_tau(ranks: Column) -> Column:
-    """(concordant - discordant) / both over pairs of an array in its order; ties count for nothing; null without pairs."""
-    pairs = F.flatten(F.transform(ranks, lambda x, i: F.transform(F.slice(ranks, i + 2, F.size(ranks)), lambda y: F.signum((y - x).cast("double")))))
-    some = F.filter(pairs, lambda s: s != 0)
-    return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, s: a + s) / F.size(some))
+    """(concordant - discordant) / both over pairs of an array in its order; ties and nulls count for nothing; null without pairs."""
+    return _taus(ranks.cast("array<double>"))
 
 
 def clamp_size(size_pt: Column, least: float = 8.0, most: float = 28.0, default: float = 13.0) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -159,17 +159,22 @@ def evaluate(truth: DataFrame, pred: DataFrame) -> dict[str, DataFrame]:
 
 
 def exclusive_quartiles(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, q1, q2, q3) with ranks (n + 1) p, as the exclusive method has them; groups of two or more, of which there are few (scripts, levels).
+    """(key, n, q1, q2, q3) with ranks (n + 1) p, as the exclusive method has them; groups of two or more values.
 
-    The inclusive percentile at ((n + 1) p - 1) / (n - 1) is the exclusive one at p, so no group is gathered.
+    A rank between two places is between the values there; ranks beyond an end are that end. All
+    groups in one pass: rows are numbered within their group, and only those at the ranks are summed.
     """
-    sizes = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1000).collect()
-    out = df.sparkSession.createDataFrame([], f"`{key}` {df.schema[key].dataType.simpleString()}, n long, q1 double, q2 double, q3 double")
-    for r in sizes:
-        at = [min(1.0, max(0.0, ((r["n"] + 1) * p - 1) / (r["n"] - 1))) for p in (0.25, 0.5, 0.75)]
-        part = df.where(F.col(key).eqNullSafe(F.lit(r[key]))).agg(F.count(value).alias("n"), *(F.percentile(value, p).alias(f"q{i + 1}") for i, p in enumerate(at)))
-        out = out.unionByName(part.select(F.lit(r[key]).alias(key), "n", "q1", "q2", "q3"))
-    return out
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key), F.col(value).cast("double").alias("_v"))
+    w = Window.partitionBy(key)
+    rows = rows.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy("_v"))).where("_n > 1")
+
+    def quartile(p: float) -> Column:
+        at = F.least(F.greatest((F.col("_n") + 1) * p, F.lit(1.0)), F.col("_n").cast("double"))
+        lo = F.floor(at)
+        share = F.when(F.col("_i") == lo, 1 - (at - lo)).when(F.col("_i") == lo + 1, at - lo).otherwise(0.0)
+        return F.sum(F.when(share > 0, F.col("_v") * share).otherwise(0.0))
+
+    return rows.groupBy(key).agg(F.max("_n").alias("n"), *(quartile(p).alias(f"q{i + 1}") for i, p in enumerate((0.25, 0.5, 0.75))))
 
 
 def font_calibration(truth: DataFrame, pred: DataFrame, most: float = 0.2) -> DataFrame:

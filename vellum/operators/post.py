@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vellum import model as M
 from vellum.config import Confidence, Docx
@@ -188,6 +190,12 @@ def _review_aggregates(columns: list[str]) -> list[Column]:
     return [F.sum(F.col("confidence") * n).alias("_t"), F.sum(n).alias("_n"), flagged.alias("_f")]
 
 
+@F.arrow_udf(StringType())
+def _two_places(x: pa.Array) -> pa.Array:
+    """Two decimals of the exact binary value; the JVM's formats round its shortest decimal instead."""
+    return pa.array([None if v is None else f"{v:.2f}" for v in x.to_pylist()], pa.string())
+
+
 def _reviewed(per: DataFrame, cfg: Confidence) -> DataFrame:
     """page_score, needs_review and reasons from the aggregates and `warnings`."""
     score = F.coalesce(F.col("_t") / F.col("_n"), F.lit(0.0))
@@ -196,7 +204,7 @@ def _reviewed(per: DataFrame, cfg: Confidence) -> DataFrame:
     reasons = F.concat(
         F.array_compact(F.array(
             F.when(F.size("_f") > 0, F.concat(F.size("_f").cast("string"), F.lit(" block(s) need review: "), listed)),
-            F.when(score < cfg.page_review_threshold, F.format_string(f"page score %.2f < {cfg.page_review_threshold}", score)),
+            F.when(score < cfg.page_review_threshold, F.concat(F.lit("page score "), _two_places(score), F.lit(f" < {cfg.page_review_threshold}"))),
         )),
         F.transform(severe, lambda w: F.concat(F.lit("image quality: "), w)),
         F.array_compact(F.array(F.when(F.col("_n").isNull(), "no text recognized"))),
