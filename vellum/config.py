@@ -6,6 +6,7 @@ import dataclasses
 import hashlib
 import json
 import os
+import shutil
 from dataclasses import dataclass, field
 
 
@@ -145,11 +146,25 @@ class Config:
         return hashlib.sha256(json.dumps(dataclasses.asdict(self), sort_keys=True).encode()).hexdigest()[:12]
 
 
+# The profiles' names, models and addresses.
 PROFILES: dict[str, dict] = {
     "dev-cpu": {},
-    "dev-vlm": {"recognition": {"primary": "vlm", "secondary": "tesseract"}},
-    "gpu-server": {"runtime": {"device": "gpu"}, "geometry": {"dewarp": "uvdoc"}, "recognition": {"primary": "vlm", "secondary": "paddle"}},
-}
+    "dev-vlm": {
+        "recognition": {
+            "primary": "vlm", "secondary": "tesseract", "primary_by_type": {"table": "tesseract"},
+            "vlm": {"backend": "openai", "base_url": "http://localhost:11434/v1", "model": "qwen3-vl:2b-instruct-q4_K_M"},
+        },
+    },
+    "gpu-server": {
+        "runtime": {"device": "cuda"}, "geometry": {"dewarp": "uvdoc"},
+        "recognition": {"primary": "vlm", "secondary": "paddle", "vlm": {"backend": "openai", "base_url": "http://localhost:8000/v1", "model": "Qwen/Qwen3-VL-8B-Instruct", "max_image_side": 1600}},
+    },
+}
+
+
+def resolve_device(device: str, probe=shutil.which) -> str:
+    """What "auto" stands for here: cuda where the driver's tool is found, else cpu; any other name is taken as it is."""
+    return ("cuda" if probe("nvidia-smi") else "cpu") if device == "auto" else device
 
 
 def merged(base: dict, over: dict) -> dict:

@@ -128,13 +128,14 @@ class Tesseract(Engine):
         return out
 
     def _table(self, crop, hints) -> Result:
-        from vellum.kernels.geometry import ruled_grid
+        from vellum.kernels.geometry import ruled_grid, with_header_rows
 
         cells = ruled_grid(crop, hints.direction != "ltr")
         if cells is None:
             r = self._read(crop, hints, self.cfg.psm_block)
             r.confidence, r.flags = (r.confidence or 0) * 0.8, [*r.flags, "no table grid found; read as a block"]
             return r
+        cells = with_header_rows(crop, cells)
         h, w = crop.shape[:2]
         n, m = max(c.row + c.rowspan for c in cells), max(c.col + c.colspan for c in cells)
         confs = []
@@ -282,7 +283,49 @@ class ChatVlm(Engine):
         return Result("" if table else text, TB.sanitized(text) if table else None, conf, self.engine_id(), token_logprobs=lps, flags=flags)
 
 
-REGISTRY: dict[str, Callable[[Recognition], Engine] | None] = {"stub": lambda cfg: Stub(), "tesseract": Tesseract, "paddle": LineModel, "vlm": ChatVlm, "none": None}
+class LocalVlm(ChatVlm):
+    """The same model in this process, through the transformers library where that is installed; a loader may be handed in."""
+
+    def __init__(self, cfg: Recognition, load: Callable | None = None):
+        super().__init__(cfg)
+        self.model, self.processor = (load or self._load)(cfg.vlm)
+
+    def _load(self, cfg: Vlm):
+        import torch
+        from transformers import AutoModelForImageTextToText, AutoProcessor, BitsAndBytesConfig
+
+        how = {"torch_dtype": getattr(torch, cfg.dtype, "auto"), "device_map": "auto"}
+        if cfg.load_in_4bit:
+            how["quantization_config"] = BitsAndBytesConfig(load_in_4bit=True)
+        path = cfg.model_path or cfg.model
+        model = AutoModelForImageTextToText.from_pretrained(path, **how)
+        for name, adapter in cfg.adapters.items():
+            model.load_adapter(adapter, adapter_name=name)
+        return model, AutoProcessor.from_pretrained(path)
+
+    def engine_id(self):
+        return f"local:{self.cfg.model_path or self.cfg.model}"
+
+    def _ask(self, body: dict) -> dict:
+        """A chat answer in the shape of the HTTP one, with the log-probability of each token that was chosen."""
+        image, text = body["messages"][0]["content"]
+        if body["model"] in self.cfg.adapters and hasattr(self.model, "set_adapter"):
+            self.model.set_adapter(body["model"])
+        chat = [{"role": "user", "content": [{"type": "image", "image": image["image_url"]["url"]}, text]}]
+        inputs = self.processor.apply_chat_template(chat, add_generation_prompt=True, tokenize=True, return_dict=True, return_tensors="pt").to(self.model.device)
+        got = self.model.generate(**inputs, max_new_tokens=body["max_tokens"], do_sample=False, output_scores=True, return_dict_in_generate=True)
+        new = got.sequences[0][inputs["input_ids"].shape[1] :]
+        lps = self.model.compute_transition_scores(got.sequences, got.scores, normalize_logits=True)[0].tolist()
+        full = len(new) >= body["max_tokens"]
+        return {"choices": [{"message": {"content": self.processor.decode(new, skip_special_tokens=True)}, "logprobs": {"content": [{"logprob": x} for x in lps]}, "finish_reason": "length" if full else "stop"}]}
+
+
+def build_vlm(cfg: Recognition) -> Engine:
+    """The vision-language engine of the settings' backend."""
+    return LocalVlm(cfg) if cfg.vlm.backend in ("transformers", "local") else ChatVlm(cfg)
+
+
+REGISTRY: dict[str, Callable[[Recognition], Engine] | None] = {"stub": lambda cfg: Stub(), "tesseract": Tesseract, "paddle": LineModel, "vlm": build_vlm, "none": None}
 
 
 def make(name: str, cfg: Recognition = Recognition()) -> Engine | None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import shutil
+import subprocess
 
 import numpy as np
 
@@ -214,6 +216,46 @@ def vote(votes: dict[str, tuple[int, float] | None], by_ocr: dict[int, float] |
 DEWARPERS: dict = {}
 
 
+#: Detectors of how a page is turned, by name ("model", "osd"); each maps a page to (rotation, confidence), or None where it cannot tell.
+#: READERS["ocr"] maps a page to how well it reads.
+TURNERS: dict = {}
+READERS: dict = {}
+
+
+def turned(page: np.ndarray, how: str) -> tuple[int, str]:
+    """Rotation of a page and who decided it: registered detectors and readings vote, unless `how` leaves it to the ink."""
+    guess = orientation(I.gray(page))
+    if how in ("heuristic", "none"):
+        return (guess if how == "heuristic" else 0), how
+    votes = {}
+    for name, detector in TURNERS.items():
+        try:
+            votes[name] = detector(page)
+        except Exception:  # noqa: BLE001  a detector that fails has no vote
+            votes[name] = None
+    sure = {v[0] for v in votes.values() if v is not None}
+    read = READERS.get("ocr") if len(votes) < 2 or len(sure) > 1 else None
+    by_ocr = {k: read(rotate90(page, k) if k else page) for k in sorted({0, 180, guess, *sure})} if read else None
+    return vote(votes, by_ocr, guess)
+
+
+def osd(cmd: str, run=subprocess.run):
+    """The classic engine's own detector of orientation, by its command."""
+
+    def detector(page: np.ndarray):
+        from vellum.sources.images import png
+
+        got = run([cmd, "stdin", "stdout", "--psm", "0"], input=png(I.fitted(page, 1600)[0].astype(np.uint8)), capture_output=True, timeout=60)
+        fields = dict(x.split(":", 1) for x in got.stdout.decode().splitlines() if ":" in x)
+        return (int(fields["Rotate"]) % 360, float(fields["Orientation confidence"])) if got.returncode == 0 and "Rotate" in fields else None
+
+    return detector
+
+
+if shutil.which("tesseract"):
+    TURNERS["osd"] = osd(shutil.which("tesseract"))
+
+
 def correct(bgr: np.ndarray, cfg, turn: int | None = None) -> dict:
     """Outline, perspective, dewarping where a model is registered, orientation and skew in one pass."""
     quad, cover = find_page(bgr, cfg.min_doc_area_ratio) if cfg.detect_boundary else (None, 1.0)
@@ -227,7 +269,9 @@ def correct(bgr: np.ndarray, cfg, turn: int | None = None) -> dict:
     if cfg.dewarp in DEWARPERS:
         h, w = out["page"].shape[:2]
         out["page"] = I.resize(DEWARPERS[cfg.dewarp](out["page"]), h, w)
-    turn = orientation(I.gray(out["page"])) if turn is None else turn
+    by = "given"
+    if turn is None:
+        turn, by = turned(out["page"], cfg.orientation)
     if turn:
         out["page"] = rotate90(out["page"], turn)
         if turn % 180:
@@ -235,7 +279,7 @@ def correct(bgr: np.ndarray, cfg, turn: int | None = None) -> dict:
     angle = skew(I.gray(out["page"]), cfg.max_deskew_deg) if cfg.deskew else 0.0
     if abs(angle) >= 0.15:
         out["page"] = rotate(out["page"], angle)
-    return {**out, "quad": None if quad is None else quad.ravel().tolist(), "coverage": cover, "found": quad is not None, "rotation": turn, "skew": angle}
+    return {**out, "quad": None if quad is None else quad.ravel().tolist(), "coverage": cover, "found": quad is not None, "rotation": turn, "rotation_by": by, "skew": angle}
 
 
 # ---- ruled tables ----
@@ -299,3 +343,12 @@ def shaded_rows(bgr: np.ndarray, bounds: list[tuple[int, int]]) -> int:
             break
         k += 1
     return k
+
+
+def with_header_rows(bgr: np.ndarray, cells: list[Cell]) -> list[Cell]:
+    """Cells of the shaded rows at the top marked as headers; rows are taken as equally tall."""
+    n, h = max((c.row + c.rowspan for c in cells), default=0), bgr.shape[0]
+    shaded = shaded_rows(bgr, [(r * h // n, (r + 1) * h // n) for r in range(n)])
+    for c in cells:
+        c.header = c.row < shaded < n
+    return cells

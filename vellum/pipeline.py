@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum import engines, model as M
-from vellum.config import Config
+from vellum.config import Config, Layout
 from vellum.functions import geometry as G
 from vellum.functions import text as T
 from vellum.kernels import geometry as KG
 from vellum.kernels import image as KI
+from vellum.kernels import regions as KR
 from vellum.operators import layout as L
 from vellum.operators import order as O
 from vellum.operators import post as P
@@ -59,7 +60,8 @@ def pages(spark: SparkSession, path: str, cfg: Config = Config()) -> DataFrame:
                     geo = KG.correct(bgr, cfg.geometry)
                     t1 = time.monotonic()
                     qa = KI.with_coverage(KI.assess(bgr, cfg.qa), geo["coverage"], geo["found"], geo["dpi"] / r.scale, cfg.qa)
-                    qa["warnings"] = [*r.warnings, *qa["warnings"]]
+                    blind = [f"no detector of orientation is installed ({cfg.geometry.orientation}); judged by ink"] if cfg.geometry.orientation not in ("heuristic", "none") and geo["rotation_by"] == "heuristic" else []
+                    qa["warnings"] = [*r.warnings, *blind, *qa["warnings"]]
                     page = KI.flatten(geo["page"], cfg.illumination.kernel_frac) if cfg.illumination.enabled else geo["page"]
                     row.update(page=IM.png(page), page_w=page.shape[1], page_h=page.shape[0], width_mm=geo["width_mm"], height_mm=geo["height_mm"], paper=geo["paper"], rotation=geo["rotation"], qa=qa, timings={"geometry": t1 - t0, "illumination": time.monotonic() - t1})
                 out.append(row)
@@ -68,53 +70,39 @@ def pages(spark: SparkSession, path: str, cfg: Config = Config()) -> DataFrame:
     return raw.mapInPandas(run, PAGES)
 
 
-def detect(page: np.ndarray) -> list[tuple[str, tuple, float, str]]:
-    """Regions without a model: groups of lines, coloured blobs, rings."""
-    W = page.shape[1]
-    ink, col = KI.ink_mask(KI.gray(page)), KI.coloured_mask(page)
-    black = KI.without_rules((ink.astype(bool) & ~KI.dilate(col, 3, 3).astype(bool)).astype(np.uint8))
-    out = []
-    lines = KI.text_lines(black, W)
-    for at in L.grouped_lines(lines):
-        bs = [lines[i] for i in at]
-        out.append(("paragraph", (min(b[0] for b in bs), min(b[1] for b in bs), max(b[2] for b in bs), max(b[3] for b in bs)), 0.5, "heuristic"))
-    rings = [(x - r, y - r, x + r, y + r) for x, y, r in KI.circles(col, W)] if col.any() else []
-    out += [("stamp", b, 0.6, "heuristic") for b in rings]
-    for x0, y0, x1, y1, _ in KI.coloured_blobs(col):
-        if any(L._share((x0, y0, x1, y1), b) > 0.6 * (x1 - x0) * (y1 - y0) for b in rings):
-            continue
-        n, longest = KI.blob_stats(col[y0:y1, x0:x1])
-        w, ratio = x1 - x0, (x1 - x0) / max(1, y1 - y0)
-        kind = "stamp" if 0.7 < ratio < 1.4 and w > 0.08 * W else "signature" if longest > 0.55 * w and n <= 4 and w > 0.1 * W else "handwritten_note"
-        out.append((kind, (x0, y0, x1, y1), 0.4, "heuristic"))
-    return out
+def detect(page: np.ndarray, cfg: Layout = Layout()) -> list[tuple[str, tuple, float, str]]:
+    """Regions without a model: groups of lines, coloured ink, rings."""
+    return [(r.type, r.box, r.score, r.source) for r in KR.analysed(page, [], cfg.detect_ink_colors, cfg.fill_uncovered_text)]
 
 
-def regions(pages_: DataFrame, detections: DataFrame | None = None) -> DataFrame:
-    """Regions of each page with their crops. detections (doc_id, label, score, x0, y0, x1, y1): a model's boxes, used in place of the heuristic ones."""
+def regions(pages_: DataFrame, detections: DataFrame | None = None, cfg: Layout = Layout()) -> DataFrame:
+    """Regions of each page with their crops. detections (doc_id, label, score, x0, y0, x1, y1): a model's boxes, which are looked at more closely and filled up with what they miss."""
     if detections is not None:
-        found = detections.select("doc_id", F.struct(L.typed(F.col("label")).alias("type"), F.array("x0", "y0", "x1", "y1").cast("array<double>").alias("bbox"), F.col("score").cast("double").alias("score")).alias("d"))
+        found = detections.where(F.col("score") >= cfg.threshold).select("doc_id", F.struct(L.typed(F.col("label")).alias("type"), F.array("x0", "y0", "x1", "y1").cast("array<double>").alias("bbox"), F.col("score").cast("double").alias("score"), F.concat(F.lit(f"{cfg.model_name}:"), "label").alias("source")).alias("d"))
         given = pages_.join(found.groupBy("doc_id").agg(F.array_sort(F.collect_list("d")).alias("given")), "doc_id", "left")
     else:
-        given = pages_.withColumn("given", F.lit(None).cast("array<struct<type:string,bbox:array<double>,score:double>>"))
+        given = pages_.withColumn("given", F.lit(None).cast("array<struct<type:string,bbox:array<double>,score:double,source:string>>"))
 
     def run(frames: Iterable[pd.DataFrame]):
         for f in frames:
             out = []
             for r in f.itertuples():
                 page = IM.from_png(r.page)
-                found = [(d["type"], tuple(d["bbox"]), d["score"], "model") for d in r.given] if r.given is not None else detect(page)
                 h, w = page.shape[:2]
-                found = [(t, (max(0.0, b[0]), max(0.0, b[1]), min(float(w), b[2]), min(float(h), b[3])), s, src) for t, b, s, src in found]
-                found = [x for x in found if x[1][2] > x[1][0] and x[1][3] > x[1][1]]
-                for n, i in enumerate(L.surviving([x[1] for x in found], [x[0] for x in found], [x[2] for x in found])):
-                    t, b, s, src = found[i]
+                model = [KR.Found(d["type"], tuple(d["bbox"]), d["score"], d["source"]) for d in r.given] if r.given is not None else []
+                found = KR.analysed(page, model, cfg.detect_ink_colors, cfg.fill_uncovered_text)
+                stamps = [x.box for x in found if x.type == "stamp"]
+                for n, x in enumerate(found):
+                    b, t = x.box, x.type
                     pad = 10 if t == "table" else 6
                     x0, y0, x1, y1 = max(0, int(b[0]) - pad), max(0, int(b[1]) - pad), min(w, int(b[2]) + pad), min(h, int(b[3]) + pad)
                     crop = page[y0:y1, x0:x1]
+                    over = [s for s in stamps if L._share(s, b) > 0]
+                    if over and t in KR.TEXT:
+                        crop = KR.without_stamps(crop, x0, y0, over)
                     lh, _ = KI.line_height(KI.ink_mask(KI.gray(crop)), w) if t not in M.IMAGE_TYPES else (None, None)
                     img = KI.ink_on_transparent(crop) if t in ("stamp", "signature") else KI.whitened(crop) if t in M.IMAGE_TYPES else crop
-                    out.append((r.doc_id, f"r{n:03d}", t, dict(zip(("x0", "y0", "x1", "y1"), map(float, b))), s, src, IM.png(img), lh, w, h))
+                    out.append((r.doc_id, f"r{n:03d}", t, dict(zip(("x0", "y0", "x1", "y1"), map(float, b))), x.score, x.source, IM.png(img), lh, w, h))
             yield pd.DataFrame(out, columns="doc_id id type bbox score source image line_height_px page_w page_h".split(), dtype=object)
 
     return given.where("error is null").select("doc_id", "page", "given").mapInPandas(run, REGIONS)
@@ -187,13 +175,14 @@ def finished(blocks: DataFrame, pages_: DataFrame, cfg: Config = Config()) -> Da
 def convert(spark: SparkSession, path: str, cfg: Config = Config(), results: DataFrame | None = None, detections: DataFrame | None = None) -> Conversion:
     """All images under a path. results: recorded engine results instead of running the engines."""
     ps = pages(spark, path, cfg)
-    rs = regions(ps, detections)
+    rs = regions(ps, detections, cfg.layout)
     if results is None:
         crops = rs.withColumnRenamed("id", "block_id").withColumn("direction", F.lit("rtl")).where(~F.col("type").isin("signature", "logo", "figure"))
         run = lambda name, role: engines.recognized(crops, name, cfg.recognition).withColumn("role", F.lit(role))
         results = by_type_results(spark, crops, cfg)
         if cfg.recognition.secondary not in ("none", cfg.recognition.primary):
             results = results.unionByName(run(cfg.recognition.secondary, "secondary"))
+        results = with_tables_read_again(results, crops, from_results(rs, results, cfg), cfg)
     return Conversion(finished(from_results(rs, results, cfg), ps, cfg), ps, rs)
 
 
@@ -207,10 +196,19 @@ def by_type_results(spark: SparkSession, crops: DataFrame, cfg: Config = Config(
 
 
 def read_tables_again(crops: DataFrame, directions: DataFrame, hint: str, cfg: Config = Config()) -> DataFrame:
-    """Results for table crops of pages whose direction turned out other than the hint; only their html and direction are to be replaced."""
+    """Results for table crops of pages whose direction turned out other than the hint, by each table's own engine; only their html and lines are to be used."""
     other = directions.where(F.col("page_direction") != hint)
     again = crops.where("type = 'table'").drop("direction").join(other.select("doc_id", F.col("page_direction").alias("direction")), "doc_id")
-    return engines.recognized(again.select(*crops.columns), cfg.recognition.primary, cfg.recognition)
+    return by_type_results(crops.sparkSession, again.select(*crops.columns), cfg)
+
+
+def with_tables_read_again(results: DataFrame, crops: DataFrame, blocks: DataFrame, cfg: Config = Config(), hint: str = "rtl") -> DataFrame:
+    """results with the html of tables as it reads in their page's own direction, where that is not what they were read with."""
+    again = read_tables_again(crops, P.page_directions(blocks, hint=hint), hint, cfg)
+    new = again.select("doc_id", "block_id", F.lit("primary").alias("role"), F.col("html").alias("_html"), F.col("text").alias("_text"))
+    both = results.join(new, ["doc_id", "block_id", "role"], "left")
+    had = F.col("_html").isNotNull()
+    return both.select(*(F.when(had, F.col("_html")).otherwise(F.col("html")).alias("html") if c == "html" else F.when(had, F.col("_text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in results.columns))
 
 
 def report(documents: DataFrame, pages_: DataFrame) -> DataFrame:
